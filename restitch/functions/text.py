@@ -69,14 +69,21 @@ def outside_comment(line: Column, keep_versioned: bool) -> tuple[Column, Column]
     return text, opens
 
 
+def _may_start_with(text: Column, letters: str) -> Column:
+    """False if the first character is visible ASCII and none of `letters`."""
+    return ~_visible_ascii(text) | F.left(text, F.lit(1)).isin(*letters)
+
+
 def block_step(text: Column) -> Column:
     """+1 for a line that is just BEGIN, -1 for one that is just END, else 0."""
-    return F.when(text.rlike(_BEGIN), 1).when(text.rlike(_END), -1).otherwise(0)
+    step = F.when(text.rlike(_BEGIN), 1).when(text.rlike(_END), -1).otherwise(0)
+    return F.when(_may_start_with(text, ";bBeE"), step).otherwise(0)
 
 
 def directive_token(text: Column) -> Column:
     """Delimiter named by a DELIMITER line (may be empty); NULL for other lines."""
-    return F.when(text.rlike(_DIRECTIVE), F.regexp_extract(text, _DIRECTIVE, 1))
+    named = _may_start_with(text, "D") & text.rlike(_DIRECTIVE)
+    return F.when(named, F.regexp_extract(text, _DIRECTIVE, 1))
 
 
 def ends_with_terminator(text: Column) -> Column:

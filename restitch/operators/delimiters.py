@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SHORTEST_DIRECTIVE = 9
 
@@ -100,6 +99,3 @@ def accepted_directives(directives: DataFrame) -> DataFrame:
         .withColumnRenamed("token", "accepted_token")
     )
 
-
-def longest_token(marks: DataFrame) -> int:
-    return marks.agg(F.coalesce(F.max("token_len"), F.lit(0))).first()[0]

@@ -131,8 +131,8 @@ def test_random_scripts(spark, versioned, span):
     seg = Segmentation(as_lines(spark, scripts, span), versioned)
     walks = [Walk(versioned).run(lines) for lines in scripts]
     assert found(seg, len(scripts)) == [w.done for w in walks]
-    states = seg.states.select(
-        "script_idx", "pos", "open_before", "depth_before", "open_after", "depth", "delimiter", "kept", "ends", "warned"
+    states = seg.states().select(
+        "script_idx", "pos", "open_before", "depth_before", "open_after", "depth_after", "delimiter", "kept", "ends", "warned"
     ).collect()
     warned = [0] * len(scripts)
     for r in states:
