@@ -27,16 +27,15 @@ def _visible_ascii(char: Column) -> Column:
 
 
 def unicode_trim(text: Column) -> Column:
-    """Remove Unicode white space at both ends; the common case needs no regex."""
-    clean = _visible_ascii(text) & _visible_ascii(F.right(text, F.lit(1)))
-    return F.when((text == "") | clean, text).otherwise(F.regexp_replace(text, _OUTER_SPACE, ""))
+    """Remove Unicode white space at both ends. Callers keep it off the common path."""
+    return F.regexp_replace(text, _OUTER_SPACE, "")
 
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units; characters outside the basic plane count twice."""
-    chars = F.char_length(text)
-    wide = (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
-    return F.when(F.octet_length(text) == chars, chars).otherwise(wide).cast("long")
+    wide = F.floor(F.octet_length(F.encode(text, "UTF-16BE")) / 2)
+    chars = F.char_length(text).cast("long")
+    return F.when(F.octet_length(text) == chars, chars).otherwise(wide)
 
 
 def _opens_block(text: Column, keep_versioned: bool) -> Column:
@@ -48,25 +47,25 @@ def has_close(line: Column) -> Column:
     return line.contains(COMMENT_CLOSE)
 
 
-def outside_comment(line: Column, keep_versioned: bool) -> tuple[Column, Column]:
+def after_comment(line: Column, keep_versioned: bool) -> Column:
+    """What follows a block comment the line starts with and closes; NULL for other lines.
+
+    The comment is cut through the last closing mark of the line.
+    """
+    cut = unicode_trim(F.substring_index(line, COMMENT_CLOSE, -1))
+    return F.when(_opens_block(line, keep_versioned) & has_close(line), cut)
+
+
+def outside_comment(line: Column, rest: Column, keep_versioned: bool) -> tuple[Column, Column]:
     """For a line met outside any comment: the text it leaves, and whether it opens one.
 
-    A leading block comment is cut through the last closing mark of the line. What
-    follows holds no closing mark, so it is looked at once more and no further.
+    `rest` is `after_comment(line)`. It holds no closing mark, so it is looked at once
+    more and no further.
     """
-    rest = unicode_trim(F.substring_index(line, COMMENT_CLOSE, -1))
-    dropped = line.startswith(LINE_COMMENT)
-    leads = _opens_block(line, keep_versioned)
-    rest_dropped = rest.startswith(LINE_COMMENT)
-    rest_leads = _opens_block(rest, keep_versioned)
-    text = (
-        F.when(dropped, F.lit(""))
-        .when(~leads, line)
-        .when(~has_close(line) | rest_dropped | rest_leads, F.lit(""))
-        .otherwise(rest)
-    )
-    opens = F.when(dropped | ~leads, F.lit(False)).otherwise(~has_close(line) | rest_leads)
-    return text, opens
+    seen = F.coalesce(rest, line)
+    leads = _opens_block(seen, keep_versioned)
+    text = F.when(leads | seen.startswith(LINE_COMMENT), F.lit("")).otherwise(seen)
+    return text, leads
 
 
 def _may_start_with(text: Column, letters: str) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from restitch.functions.text import (
     DEFAULT_DELIMITER,
+    after_comment,
     block_step,
     directive_token,
     ends_with_terminator,
@@ -89,16 +90,16 @@ def _comment_scan(rows: DataFrame, swaps: Column, settles: Column, settled: str,
 
 def classify(lines: DataFrame, keep_versioned: bool) -> DataFrame:
     """Everything about a line that does not depend on other lines."""
-    text, opens = outside_comment(F.col("line"), keep_versioned)
+    line = F.col("line")
+    text, opens = outside_comment(line, F.col("rest"), keep_versioned)
     return (
         lines.select(
-            *_CHUNK,
-            "pos",
-            "line",
-            text.alias("text"),
-            opens.alias("opens"),
-            has_close(F.col("line")).alias("closes"),
+            *(*_CHUNK, "pos", "line"),
+            has_close(line).alias("closes"),
+            after_comment(line, keep_versioned).alias("rest"),
         )
+        .withColumns({"text": text, "opens": opens})
+        .drop("rest")
         .withColumn("step", block_step(F.col("text")))
         .withColumn("token", directive_token(F.col("text")))
         .withColumn("terminator", ends_with_terminator(F.col("text")))
