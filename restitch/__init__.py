@@ -1,6 +1,32 @@
 """Restore SQL dump scripts with Spark: lines -> statements -> rows -> tables."""
 
+from restitch.operators.conflicts import take_in_order
+from restitch.operators.outcomes import applied_rows, failures, resolve, until_first_failure
+from restitch.operators.progress import statement_progress
+from restitch.operators.restore import Target, insert_rows, parse, stage
 from restitch.operators.segment import Segmentation
+from restitch.plans.run import Run, run_scripts
 from restitch.sources.scripts import lines_from_column, lines_from_rows, manifest, scan_scripts
+from restitch.sources.tables import append_rows, prepare_database
 
-__all__ = ["Segmentation", "lines_from_column", "lines_from_rows", "manifest", "scan_scripts"]
+__all__ = [
+    "Run",
+    "Segmentation",
+    "Target",
+    "append_rows",
+    "applied_rows",
+    "failures",
+    "insert_rows",
+    "lines_from_column",
+    "lines_from_rows",
+    "manifest",
+    "parse",
+    "prepare_database",
+    "resolve",
+    "run_scripts",
+    "scan_scripts",
+    "stage",
+    "statement_progress",
+    "take_in_order",
+    "until_first_failure",
+]

@@ -56,6 +56,7 @@ def scan_scripts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     Each distinct file is read once; the list (driver-side by nature) is joined on.
     Bytes that are not UTF-8 become replacement characters.
     """
+    listed = _script_list(spark, paths)
     pin_file_splits(spark)
     scanned = spark.read.text(list(dict.fromkeys(paths))).select(
         _file_key(F.col("_metadata.file_path")).alias("file_key"),
@@ -63,7 +64,7 @@ def scan_scripts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("pos"),
         F.make_valid_utf8("value").alias("line"),
     )
-    return scanned.join(_script_list(spark, paths), "file_key").select("script_idx", "chunk", "pos", "line")
+    return scanned.join(listed, "file_key").select("script_idx", "chunk", "pos", "line")
 
 
 def lines_from_column(df: DataFrame, script_id: str, text: str) -> DataFrame:
