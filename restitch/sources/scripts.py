@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from restitch.session import pin_file_splits
@@ -92,3 +92,20 @@ def lines_from_rows(df: DataFrame, script_id: str, pos: str, line: str, chunk_sp
         position.alias("pos"),
         F.col(line).alias("line"),
     )
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Add `line_no`, counted from 1 within each script.
+
+    Lines are ranked inside chunks; a window over one row per chunk gives the offset.
+    """
+    in_chunk = Window.partitionBy("script_idx", "chunk").orderBy("pos")
+    earlier = Window.partitionBy("script_idx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("script_idx", "chunk").agg(F.count("*").alias("n_lines"))
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n_lines").over(earlier), F.lit(0))).drop("n_lines")
+    return (
+        lines.withColumn("rank", F.row_number().over(in_chunk))
+        .join(offsets, ["script_idx", "chunk"])
+        .withColumn("line_no", F.col("offset") + F.col("rank"))
+        .drop("rank", "offset")
+    )
