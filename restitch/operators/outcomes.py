@@ -39,12 +39,8 @@ def resolve(parsed: DataFrame, targets: Mapping[str, Target], stop_on_error: boo
 def until_first_failure(outcomes: DataFrame) -> DataFrame:
     """Outcomes up to and including the first failure in run order."""
     place = F.struct(*POSITION)
-    first = outcomes.where("status = 'failed'").agg(F.min(place).alias("stop"))
-    return (
-        outcomes.crossJoin(F.broadcast(first))  # exactly one row
-        .where(F.col("stop").isNull() | (place <= F.col("stop")))
-        .drop("stop")
-    )
+    stop = outcomes.where("status = 'failed'").agg(F.min(place)).scalar()
+    return outcomes.withColumn("stop", stop).where(F.col("stop").isNull() | (place <= F.col("stop"))).drop("stop")
 
 
 def applied_rows(parsed: DataFrame, outcomes: DataFrame, table: str, target: Target) -> DataFrame:

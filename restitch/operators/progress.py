@@ -13,10 +13,8 @@ def statement_progress(statements: DataFrame, scripts: DataFrame) -> DataFrame:
     `scripts` has a row per script. Characters leave out line ends, so a script with
     line ends stays below 100.
     """
-    n_scripts = scripts.agg(F.count("*").alias("file_count"))
     return (
         statements.join(scripts.select("script_idx", "file_bytes"), "script_idx")
-        .crossJoin(F.broadcast(n_scripts))  # exactly one row
         .select(
             "script_idx",
             "seq",
@@ -24,7 +22,7 @@ def statement_progress(statements: DataFrame, scripts: DataFrame) -> DataFrame:
             "chars_done",
             "file_bytes",
             (F.col("script_idx") + 1).alias("file_no"),
-            "file_count",
+            scripts.agg(F.count("*")).scalar().alias("file_count"),
             F.try_divide(F.col("chars_done") * 100.0, F.col("file_bytes")).alias("percent"),
         )
     )

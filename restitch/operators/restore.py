@@ -50,8 +50,11 @@ def parse(statements: DataFrame) -> DataFrame:
         .withColumn("column_names", F.when(is_insert, insert_columns(text)))
         .withColumn("tuples", F.when(is_insert, insert_tuples(text)))
         .select(*POSITION, "kind", "table_name", "column_names", F.posexplode_outer("tuples").alias("row_no", "row"))
-        .withColumn("values", tuple_values(F.col("row")))
-        .drop("row")
+        # Values come out of a generator, so that no filter or column repeats the work.
+        .select(
+            *(*POSITION, "kind", "table_name", "column_names", "row_no"),
+            F.explode(F.array(tuple_values(F.col("row")))).alias("values"),
+        )
     )
 
 
