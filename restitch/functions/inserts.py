@@ -29,7 +29,7 @@ _UPSERT = rf"{_HEAD}{_TUPLES}(?:AS\s++|ON\s++DUPLICATE\s++)"
 _LITERAL = rf"(?si)\A\s*+(?:_[a-z0-9]++\s*+)?+({_STRING})\s*+\z"
 _HEX = r"(?i)\A\s*+(?:_[a-z0-9]++\s++)?+(?:0x([0-9a-f]*+)|x'([0-9a-f]*+)')\s*+\z"
 _BITS = r"(?i)\A\s*+b'([01]*+)'\s*+\z"
-_NUMBER = r"(?i)\A\s*+([-+]?+(?:\d++(?:\.\d*+)?+|\.\d++)(?:e[-+]?+\d++)?+)\s*+\z"
+_NUMBER = r"\A\s*+[-+]?+(?:\d++(?:\.\d*+)?+|\.\d++)(?:[eE][-+]?+\d++)?+\s*+\z"
 _NULL = r"(?i)\A\s*+NULL\s*+\z"
 _TRUTH = r"(?i)\A\s*+(TRUE|FALSE)\s*+\z"
 
@@ -99,31 +99,23 @@ def _unescape(literal: Column) -> Column:
 def tuple_values(row: Column) -> Column:
     """Values of one tuple as `array<struct<kind, text>>`; text is NULL for NULL."""
 
+    def found(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+
     def value(raw: Column) -> Column:
-        inner = raw.substr(F.lit(2), F.length(raw) - 2)
-        simple = (
-            raw.startswith("'")
-            & raw.endswith("'")
-            & (F.length(raw) > 1)
-            & ~inner.contains("'")
-            & ~inner.contains("\\")
-        )
+        # One closed string without escapes: its second quote is its last character.
+        simple = raw.startswith("'") & (F.locate("'", raw, 2) == F.length(raw)) & ~raw.contains("\\")
         digits = F.concat(F.regexp_extract(raw, _HEX, 1), F.regexp_extract(raw, _HEX, 2))
-        text = (
-            F.when(simple, inner)
-            .when(raw.rlike(_NUMBER), F.regexp_extract(raw, _NUMBER, 1))
-            .when(raw.rlike(_LITERAL), _unescape(F.regexp_extract(raw, _LITERAL, 1)))
-            .when(raw.rlike(_TRUTH), F.when(F.lower(F.trim(raw)) == "true", "1").otherwise("0"))
-            .when(raw.rlike(_BITS), F.conv(F.regexp_extract(raw, _BITS, 1), 2, 10))
-            .when(raw.rlike(_HEX), digits)
-        )
-        kind = (
-            F.when(simple | text.isNull() & raw.rlike(_NULL), TEXT)
-            .when(text.isNull(), EXPRESSION)
-            .when(raw.rlike(_HEX), HEX)
-            .otherwise(TEXT)
+        return (
+            F.when(simple, found(TEXT, raw.substr(F.lit(2), F.length(raw) - 2)))
+            .when(raw.rlike(_NUMBER), found(TEXT, F.regexp_replace(raw, r"\s++", "")))
+            .when(raw.rlike(_NULL), found(TEXT, F.lit(None)))
+            .when(raw.rlike(_LITERAL), found(TEXT, _unescape(F.regexp_extract(raw, _LITERAL, 1))))
+            .when(raw.rlike(_TRUTH), found(TEXT, F.when(raw.rlike("(?i)true"), "1").otherwise("0")))
+            .when(raw.rlike(_BITS), found(TEXT, F.conv(F.regexp_extract(raw, _BITS, 1), 2, 10)))
+            .when(raw.rlike(_HEX), found(HEX, digits))
+            .otherwise(found(EXPRESSION, F.lit(None)))
         )
-        return F.struct(kind.alias("kind"), text.alias("text"))
 
     inside = row.substr(F.lit(2), F.length(row) - 2)
     return F.transform(F.regexp_extract_all(inside, F.lit(rf"(?s){_VALUE}"), F.lit(0)), value)

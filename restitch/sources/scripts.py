@@ -16,6 +16,9 @@ from restitch.session import pin_file_splits
 
 _ANY_BREAK = r"\r\n|\n|\r"
 
+# The list of scripts is sent to every executor; longer lists are to be run in parts.
+MAX_SCRIPTS = 500_000
+
 
 def _file_key(uri: Column) -> Column:
     return F.regexp_replace(uri, "^file:/+", "file:/")
@@ -35,6 +38,8 @@ def _resolve(spark: SparkSession, path: str) -> str:
 def _script_list(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     known = {path: _resolve(spark, path) for path in dict.fromkeys(paths)}
     rows = [(idx, path, known[path]) for idx, path in enumerate(paths)]
+    if len(rows) > MAX_SCRIPTS:
+        raise ValueError(f"{len(rows)} scripts in one run; at most {MAX_SCRIPTS} are allowed")
     listed = spark.createDataFrame(rows, "script_idx long, script_path string, uri string")
     return listed.withColumn("file_key", _file_key(F.col("uri"))).drop("uri")
 
@@ -64,7 +69,9 @@ def scan_scripts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("pos"),
         F.make_valid_utf8("value").alias("line"),
     )
-    return scanned.join(listed, "file_key").select("script_idx", "chunk", "pos", "line")
+    # The argument list of a run, held by the driver already. A shuffle on the file name
+    # would send all lines of a script to one task.
+    return scanned.join(F.broadcast(listed), "file_key").select("script_idx", "chunk", "pos", "line")
 
 
 def lines_from_column(df: DataFrame, script_id: str, text: str) -> DataFrame:
