@@ -100,11 +100,13 @@ def take_in_order(
         )
         done = verdicts.where(F.col("fails") | F.col("leads"))
         settled.append(done.select(*_STATEMENT, (~F.col("fails")).alias("taken")))
-        judged = _look_up(open_claims, verdicts, _STATEMENT, n_open)
-        gone = checkpoint(judged.where(F.col("leads") & ~F.col("fails")).select(*keys))
-        open_claims = checkpoint(
-            judged.where(~F.col("fails") & ~F.col("leads")).select(*_STATEMENT, *keys, "repeated")
+        judged = checkpoint(
+            _look_up(open_claims, verdicts, _STATEMENT, n_open)
+            .where(~F.col("fails"))
+            .select(*_STATEMENT, *keys, "repeated", "leads")
         )
+        gone = judged.where("leads").select(*keys)
+        open_claims = judged.where(~F.col("leads")).drop("leads")
     else:
         raise RuntimeError(f"statements still wait for each other after {max_rounds} rounds")
     if not settled:
