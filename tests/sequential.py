@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-_BLOCK_WORD = re.compile(r"\s*;*\s*(begin|end)\s*;*\s*", re.IGNORECASE | re.ASCII)
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+# White space outside ASCII, as numbers: it is hard to tell apart in an editor.
+_WIDE_SPACE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SPACE = "\t\n\x0b\x0c\r " + "".join(map(chr, _WIDE_SPACE))
 
 
 @dataclass

@@ -81,7 +81,7 @@ CASES = [
     ("empty", False, "", []),
     ("blank lines", False, "\n\n", []),
     ("no word boundary", False, "DELIMITERfoo\na;\nDELIMITER\nb;\nDELIMITER ;\nc;", None),
-    ("unicode space", False, "a; \nb ;　\n BEGIN \nq;\nend ;", None),
+    ("unicode space", False, "a;\u00a0\nb ;　\n\u00a0BEGIN \nq;\nend\u00a0; ", None),
     ("wide characters", False, "insert '\U0001f600 é';\nx", None),
     ("dotless letters", False, "BEGİN\nx;\nENđ\ny;", None),
 ]
@@ -90,7 +90,7 @@ SHAPES = [
     "BEGIN", "end", " END;; ", "/* a", "b */ tail;", "-- c;", " -- kept;", "", "  ", "/*!40101 SET x */;",
     "/* a */ y;", "/* a */ /* b", "DELIMITER ;;", "DELIMITER ;", "q /* mid */;", "/* a */ lost; /* b */", "END //",
     ";", "a; b;", "/* a */ -- d", "z; -- t", "e */", "v", "v;", "/*", "*/", "/*/", "/* x */ /*! y", "\tbegin;",
-    "DELIMITER", ";;", "/*! open", " ", "x; ", "/*! a */ /* b */", "--", "/**/",
+    "DELIMITER", ";;", "/*! open", "\u00a0", "x;\u00a0", "/*! a */ /* b */", "--", "/**/",
 ]
 LONG_SHAPES = ["DELIMITER $$$$$$$$$$$$", "DELIMITER ;  -- pad pad pad", "DELIMITER abcdefghijklmno", "DELIMITER ;", "y;", "BEGIN", "end"]
 
