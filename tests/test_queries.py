@@ -2,17 +2,19 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalog.oracles import ORACLES
+from catalog.plans import QUERIES
 from tests.check_queries import compare
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, name):
     assert compare(spark, SF_DIR, name).startswith("ok")
 
