@@ -59,4 +59,20 @@ select page_id, host, path, rule, coalesce(hit, false) as listed,
 from ruled
 """
 
-ORACLES = {"op2_chat_format": OP2, "op4_url_filter": OP4}
+OP5 = """
+with payloads as (
+  select page_id, encode(coalesce(html, '')) as payload from pages
+), digests as (
+  select page_id, octet_length(payload) as payload_bytes, sha1(payload) as payload_digest from payloads
+), held as (
+  select *, max(page_id) over (partition by payload_digest) as holder from digests
+), typed as (
+  select *, payload_bytes >= 1000 and page_id <> holder as again from held
+)
+select page_id, payload_bytes, payload_digest,
+  case when again then 'revisit' else 'response' end as record_type,
+  case when again then holder end as refers_to
+from typed
+"""
+
+ORACLES = {"op2_chat_format": OP2, "op4_url_filter": OP4, "op5_warc": OP5}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restitch.llm import chat, packing, quality_rules, url_filter
-from restitch.llm.common import table
+from restitch.llm import chat, packing, quality_rules, url_filter, warc
+from restitch.llm.common import checkpoint, scratch, table
 
 # Hosts with these words in their names make up the list of op4.
 LISTED_WORDS = ["casino", "adult", "bets", "spam"]
@@ -33,6 +33,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("binary").alias("payload"))
+    path = scratch(spark, "warc")
+    warc.write_archives(pages, path)
+    read = checkpoint(warc.read_archives(spark, path))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return warc.resolve_revisits(read).select(*columns)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
@@ -46,6 +55,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op4_url_filter": op4_url_filter,
+    "op5_warc": op5_warc,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
 }
