@@ -20,7 +20,13 @@ TABLES = (
 
 def canonical(frame: pd.DataFrame) -> list[str]:
     frame = frame[sorted(frame.columns)]
-    return sorted(repr([None if v is None or v is pd.NaT or v != v else v for v in row]) for row in frame.astype(object).values.tolist())
+
+    def plain(v: object) -> object:
+        if v is None or v is pd.NaT or v is pd.NA or v != v:
+            return None
+        return int(v) if isinstance(v, float) and v.is_integer() else v
+
+    return sorted(repr([plain(v) for v in row]) for row in frame.astype(object).values.tolist())
 
 
 def compare(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -31,7 +37,8 @@ def compare(spark: SparkSession, sf_dir: str, name: str) -> str:
     took = time.time() - start
     db = duckdb.connect()
     for table in TABLES:
-        db.sql(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
+        path = f"{sf_dir}/{table}.parquet"
+        db.sql(f"create view {table} as select * from '{path + '/*.parquet' if Path(path).is_dir() else path}'")
     want = db.sql(oracle_sql()[name]).df()
     if sorted(got.columns) != sorted(want.columns):
         return f"COLUMNS {sorted(got.columns)} != {sorted(want.columns)}"
