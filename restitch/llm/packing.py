@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -30,51 +31,93 @@ from restitch.llm.common import checkpoint, text_of
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-# Words kept with their ids by each task; beyond that the cache starts anew.
-CACHE_WORDS = 300_000
+# Words kept with their ids by each worker, some 100 MB; twice as many while generations change.
+CACHE_WORDS = 400_000
+# Marks that end a token of letters and start one of their own.
+ENDINGS = frozenset(".,;:!?")
 # Pieces of one length are ranked in so many parts.
 SALTS = 64
 
 
+def byte_symbols() -> dict[int, int]:
+    """How byte-level models write bytes: printable ones as themselves, the others counted from 256."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = sorted(set(range(256)).difference(printable))
+    return {byte: 256 + k for k, byte in enumerate(others)}
+
+
 class WordTokens:
     """Ids of texts, a cached word at a time, as little-endian 32-bit integers.
 
-    The tokenizer never lets a token cross white space, so a text's ids are those of its
-    words one after the other. Texts that hold a special token's string are encoded whole.
+    The tokenizer drops white space, never lets a token cross it or the step from a letter to
+    a punctuation mark, and lower-cases each character for itself; so a text's ids are those
+    of its lower-case words, one after the other. Texts for which this does not hold (special
+    tokens' strings, characters that lower-casing or composition treat by context) are encoded
+    whole. The cache holds two generations of `CACHE_WORDS` words.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.symbols = byte_symbols()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        out = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                out.append(self.encode(text) + end)
-                continue
-            words = text.replace("\n", " ").split(" ")
-            try:
-                ids = list(map(self.cache.__getitem__, words))
-            except KeyError:
-                new = list({w for w in words if w not in self.cache})
-                if len(self.cache) + len(new) > CACHE_WORDS:
-                    self.cache.clear()
-                    new = list(set(words))
-                coded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-                self.cache.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(new, coded, strict=True))
-                ids = list(map(self.cache.__getitem__, words))
-            ids.append(end)
-            out.append(b"".join(ids))
-        return out
+    def _learn(self, words: set[str]) -> None:
+        """Put words into the recent generation."""
+        recent, older = self.recent, self.older
+        parts = {w: (w[:-1], w[-1]) if w[-1:] in ENDINGS and w[-2:-1].isalpha() else (w,) for w in words}
+        new = set()
+        for word in {p for part in parts.values() for p in part}:
+            if word not in recent:
+                if word in older:
+                    recent[word] = older[word]
+                else:
+                    new.add(word)
+        listed = [w for w in new if not w.isalpha()]
+        for word in new.difference(listed):
+            # One run of letters: what the model's pre-tokenizer would hand it, byte by byte.
+            symbols = word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
+            recent[word] = np.array([t.id for t in self.model.tokenize(symbols)], dtype="<u4").tobytes()
+        if listed:
+            coded = self.tokenizer.encode_batch(listed, add_special_tokens=False)
+            recent.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(listed, coded, strict=True))
+        for word, part in parts.items():
+            if len(part) > 1:
+                recent[word] = recent[part[0]] + recent[part[1]]
+
+    def encode(self, text: str) -> bytes:
+        lower = text.lower()
+        if not text.isascii() and ("\u03a3" in text or not is_normalized("NFC", text) or not is_normalized("NFC", lower)):
+            return self.whole(text)
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        words = lower.replace("\n", " ").split(" ")
+        ids = list(map(self.recent.get, words))
+        if None in ids:
+            if len(self.recent) > CACHE_WORDS:
+                self.older, self.recent = self.recent, {}
+                ids = [None] * len(words)
+            self._learn({w for w, known in zip(words, ids, strict=True) if known is None})
+            ids = map(self.recent.__getitem__, words)
+        return b"".join(ids)
+
+
+_OF_WORKER: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """One for each Python worker, so that its cache serves all of the worker's tasks."""
+    if path not in _OF_WORKER:
+        _OF_WORKER[path] = WordTokens(path)
+    return _OF_WORKER[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -89,10 +132,12 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from public_tokenizers import path
 
-        words = WordTokens(path(tokenizer))
+        words = word_tokens(path(tokenizer))
+        end = np.array([END_ID], dtype="<u4").tobytes()
         for frame in frames:
             rows = []
-            for doc_id, ids in zip(frame["doc_id"], words.batch(frame["text"].tolist()), strict=True):
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                ids = words.encode(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
                     part = ids[at : at + 4 * CAPACITY]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, part))
