@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restitch.llm import chat, packing, quality_rules, url_filter, warc
+from restitch.llm import chat, packing, quality_rules, toxicity, url_filter, warc
 from restitch.llm.common import checkpoint, scratch, table
 
 # Hosts with these words in their names make up the list of op4.
@@ -24,6 +24,16 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(turns.unionByName(extra)))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain: low quality, then toxic, then both at once, which the two before nearly tell."""
+    low, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    categories = {"low_quality": low, "toxic": toxic, "toxic_junk": low & toxic}
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), categories)
+    results = [c for c in judged.columns if c != "row"]
+    return judged.select("row.doc_id", *results)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: canonical URLs of pages on hosts named for what is not wanted."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -54,6 +64,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
+    "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_warc": op5_warc,
     "op8_best_fit_packing": op8_best_fit_packing,
