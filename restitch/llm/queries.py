@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restitch.llm import chat, packing, quality_rules, toxicity, url_filter, warc
+from restitch.llm import chat, packing, quality_rules, toxicity, url_filter, warc, weak_quality
 from restitch.llm.common import checkpoint, scratch, table
 
 # Hosts with these words in their names make up the list of op4.
@@ -52,6 +52,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve_revisits(read).select(*columns)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return weak_quality.classify_quality(docs).select("row.doc_id", "posterior", "score", "kept")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_warc": op5_warc,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
 }
