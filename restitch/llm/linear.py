@@ -61,11 +61,11 @@ class Rows:
     def of(cls, lists: Iterable[np.ndarray]) -> Rows:
         lists = list(lists)
         sizes = np.array([len(x) for x in lists], np.int64)
-        ids = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
-        return cls(ids, np.repeat(np.arange(len(lists)), sizes), len(lists))
+        ids = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
+        return cls(ids, np.repeat(np.arange(len(lists), dtype=np.int32), sizes), len(lists))
 
     def take(self, rows: np.ndarray) -> Rows:
-        new = np.full(self.n, -1, np.int64)
+        new = np.full(self.n, -1, np.int32)
         new[rows] = np.arange(len(rows))
         there = new[self.row] >= 0
         return Rows(self.ids[there], new[self.row[there]], len(rows))

@@ -27,7 +27,7 @@ from restitch.llm import linear
 from restitch.llm.common import bounded_sample, checkpoint, text_of, whole
 from restitch.llm.quality_rules import statistics
 
-MOST_TRAINING = 20_000
+MOST_TRAINING = 8_000
 KEEP_FROM = 0.5
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
@@ -128,10 +128,11 @@ def label_model(voted: DataFrame) -> tuple[dict[int, float], dict[str, tuple[flo
         return {}, {}
     good, says = expectation_maximisation(votes_of(patterns), counted["n"].to_numpy(float))
     # Of bad documents the share voted bad or not voted good; of good ones the other way round.
-    right = {
-        name: (float(1 - says[0, k, 2]), float(1 - says[1, k, 0])) if says[:, k, 2].max() > 0.5 else (float(says[0, k, 0]), float(1 - says[1, k, 0]))
-        for k, (name, _) in enumerate(LABELLERS)
-    }
+    right = {}
+    for k, (name, _) in enumerate(LABELLERS):
+        finds_good = says[:, k, 2].sum() > says[:, k, 0].sum()
+        on_bad, on_good = (1 - says[0, k, 2], says[1, k, 2]) if finds_good else (says[0, k, 0], 1 - says[1, k, 0])
+        right[name] = (float(on_bad), float(on_good))
     return dict(zip(patterns.tolist(), good.tolist(), strict=True)), right
 
 
