@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restitch.llm import chat, packing, quality_rules, toxicity, url_filter, warc, weak_quality
+from restitch.llm import chat, decontaminate, packing, quality_rules, toxicity, url_filter, warc, weak_quality
 from restitch.llm.common import checkpoint, scratch, table
 
 # Hosts with these words in their names make up the list of op4.
@@ -67,6 +67,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"stats.{s}") for s in stats], "base_failed", "kept", "score")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_toxicity": op3_toxicity,
@@ -75,4 +79,5 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
