@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restitch.llm import chat, decontaminate, packing, quality_rules, toxicity, url_filter, warc, weak_quality
+from restitch.llm import chat, decontaminate, near_dedup, packing, quality_rules, toxicity, url_filter, warc, weak_quality
 from restitch.llm.common import checkpoint, scratch, table
 
 # Hosts with these words in their names make up the list of op4.
@@ -14,6 +14,10 @@ LISTED_WORDS = ["casino", "adult", "bets", "spam"]
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["conv_id", "turn", "role", "text"]
     turns = table(spark, sf_dir, "conversations").select(*columns)
@@ -72,6 +76,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
