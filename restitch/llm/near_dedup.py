@@ -12,7 +12,7 @@ is what splitting the process in halves down to the unit would give. A component
 earliest time. Points come in order of time, so a text needs about `SIZE * ln(SIZE)` of them
 in all, and equal components are an unbiased estimate of the similarity.
 
-`BANDS` bands of `ROWS` components find a pair of similarity 0.8 but for one in 20 million.
+`BANDS` bands of `ROWS` components find a pair of similarity 0.8 but for three in a million.
 Members of a bucket are compared with one leader first; buckets whose members are then still
 of several classes are completed pair by pair across classes, in blocks, so that no link is lost
 and no group is expanded into all pairs. Exact copies are one node; nodes are 128-bit digests.
@@ -35,13 +35,20 @@ from restitch.llm.common import checkpoint, text_of, whole
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SIZE = 128
+SIZE = 96
 ROWS = 4
 BANDS = SIZE // ROWS
 # Pairs whose signatures agree in less are not compared when buckets are completed: 0.8 less four deviations.
 LEAST_ESTIMATE = 0.65
 BLOCK = 512
 CACHE_WORDS = 400_000
+# Work of a Python worker at a time: words sketched together, processes advanced together.
+BATCH_WORDS = 50_000
+BATCH_PROCESSES = 100_000
+# Tables of at most so many keys or buckets (some 60 MB) are sent to all executors; larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
+# Times are whole numbers, so that sums don't depend on the order of adding.
+TICKS = 2.0**40
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -59,73 +66,133 @@ _HASHES: dict[bytes, int] = {}
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_HASHES) > CACHE_WORDS:
         _HASHES.clear()
-    for word in set(words).difference(_HASHES):
-        _HASHES[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    found = list(map(_HASHES.get, words))
+    if None in found:
+        for word in {w for w, known in zip(words, found, strict=True) if known is None}:
+            _HASHES[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        found = list(map(_HASHES.__getitem__, words))
+    return np.array(found, np.uint64)
 
 
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split()
 
 
+def shingles_of(texts: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text, given as its words, the sorted hashes of its different shingles and how often each occurs."""
+    hashes = _word_hashes([w for words in texts for w in words])
+    windows = np.zeros(max(len(hashes) - SHINGLE + 1, 0), np.uint64)
+    for k in range(SHINGLE):
+        windows = windows * _GOLDEN + hashes[k : k + len(windows)]
+    windows = _mix(windows)
+    out, at = [], 0
+    for words in texts:
+        n = len(words)
+        if n >= SHINGLE:
+            found = np.sort(windows[at : at + n - SHINGLE + 1])
+        else:
+            short = np.array([n], np.uint64)
+            for k in range(n):
+                short = short * _GOLDEN + hashes[at + k]
+            found = _mix(short)
+        at += n
+        new = np.concatenate([[True], found[1:] != found[:-1]])
+        edges = np.append(np.flatnonzero(new), len(found))
+        out.append((found[new], np.diff(edges)))
+    return out
+
+
 def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the different shingles, sorted, and how often each occurs."""
-    hashes = _word_hashes(words)
-    span = min(SHINGLE, len(words))
-    n = len(words) - span + 1
-    total = np.full(n, span, np.uint64)
-    for k in range(span):
-        total = _mix(total * _GOLDEN + hashes[k : k + n])
-    return np.unique(total, return_counts=True)
-
-
-def signature(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The `SIZE` earliest times; needs at least one element."""
+    return shingles_of([words])[0]
+
+
+def _advance(best: np.ndarray, owner: np.ndarray, seed: np.ndarray, rate: np.ndarray, units: np.ndarray) -> None:
+    """Let the points of some processes into the rows of `best` that their owners have."""
+    flat = best.reshape(-1)
+    time, first = np.zeros(len(seed), np.uint64), np.zeros(len(seed), np.uint64)
+    # As many points at once as will fill all components, then more for those that are behind.
+    total = np.bincount(owner, rate, len(best))
+    many = np.ceil(SIZE * (np.log(SIZE) + 1) / np.maximum(total, 1)).astype(np.int64)[owner] + 2
+    while len(seed):
+        ends = np.cumsum(many)
+        starts = ends - many
+        of = np.repeat(np.arange(len(seed)), many)
+        number = (np.arange(len(of)) - starts[of] + 1).astype(np.uint64) + first[of]
+        z = _mix(seed[of] + number * _GOLDEN)
+        wait = -np.log(((z >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / rate[of]
+        sums = np.cumsum((wait * TICKS).astype(np.uint64))
+        before = np.concatenate([[np.uint64(0)], sums])[starts]
+        times = time[of] + (sums - before[of])
+        mark = _mix(z ^ _B)
+        component = ((mark & np.uint64(0xFFFFFFFF)) * np.uint64(SIZE)) >> np.uint64(32)
+        unit = ((mark >> np.uint64(32)) * rate.astype(np.uint64)[of]) >> np.uint64(32)
+        at = owner[of] * SIZE + component.astype(np.int64)
+        counted = unit < units[of]
+        np.minimum.at(flat, at[counted], times[counted])
+        time = times[ends - 1]
+        first = first + many.astype(np.uint64)
+        behind = time < best.max(axis=1)[owner]
+        seed, rate, units, owner = seed[behind], rate[behind], units[behind], owner[behind]
+        time, first = time[behind], first[behind]
+        many = np.full(len(seed), 4)
+
+
+def signatures(multisets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each multiset `(elements, counts)`, which is not empty, the `SIZE` earliest times."""
+    elements = np.concatenate([m[0] for m in multisets])
+    counts = np.concatenate([m[1] for m in multisets])
+    owners = np.repeat(np.arange(len(multisets)), [len(m[0]) for m in multisets])
     # A process for each element and power of two that its count reaches: units (start, start + rate].
-    seeds, rates, reach = [_mix(elements)], [np.ones(len(elements))], [counts]
+    parts = [(owners, _mix(elements), np.ones(len(elements)), counts)]
     start, many = 1, np.flatnonzero(counts > 1)
     while len(many):
-        seeds.append(_mix(elements[many] + np.array([start], np.uint64) * _A))
-        rates.append(np.full(len(many), float(start)))
-        reach.append(counts[many] - start)
+        seed = _mix(elements[many] + np.array([start], np.uint64) * _A)
+        parts.append((owners[many], seed, np.full(len(many), float(start)), counts[many] - start))
         start *= 2
         many = many[counts[many] > start]
-    seed, rate, units = np.concatenate(seeds), np.concatenate(rates), np.concatenate(reach).astype(np.uint64)
-    best = np.full(SIZE, np.inf)
-    time = np.zeros(len(seed))
-    total = float(rate.sum())
-    first = np.zeros(len(seed), np.uint64)
-    # As many points at once as the slowest process will need, then more for those that are behind.
-    step = int(np.ceil(SIZE * (np.log(SIZE) + 1) / total)) + 2
-    while len(seed):
-        number = first[:, None] + np.arange(1, step + 1, dtype=np.uint64)
-        z = _mix(seed[:, None] + number * _GOLDEN)
-        wait = -np.log(((z >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / rate[:, None]
-        times = time[:, None] + np.cumsum(wait, axis=1)
-        mark = _mix(z ^ _B)
-        unit = ((mark >> np.uint64(32)) * rate.astype(np.uint64)[:, None]) >> np.uint64(32)
-        counted = unit < units[:, None]
-        np.minimum.at(best, (mark & np.uint64(SIZE - 1))[counted].astype(np.int64), times[counted])
-        behind = times[:, -1] < best.max()
-        seed, rate, units, time = seed[behind], rate[behind], units[behind], times[behind, -1]
-        first = first[behind] + np.uint64(step)
-        step = 4
+    owner, seed, rate, units = (np.concatenate(x) for x in zip(*parts, strict=True))
+    best = np.full((len(multisets), SIZE), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(seed), BATCH_PROCESSES):
+        part = slice(k, k + BATCH_PROCESSES)
+        mine, local = np.unique(owner[part], return_inverse=True)
+        rows = best[mine]
+        _advance(rows, local, seed[part], rate[part], units[part].astype(np.uint64))
+        best[mine] = rows
     return best
 
 
-def sketch(text: str) -> tuple[bytes, int, bytes, np.ndarray] | None:
-    """Digest, number of shingles, 32-bit signature and band hashes of a text; None without words."""
-    words = words_of(text)
-    if not words:
-        return None
-    elements, counts = shingles(words)
-    mixed = _mix(signature(elements, counts).view(np.uint64))
-    folded = mixed.reshape(BANDS, ROWS)
-    bands = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        bands = _mix(bands * _GOLDEN + folded[:, k])
-    key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-    return key, int(counts.sum()), (mixed & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), bands.view(np.int64)
+def text_key(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def sketches(texts: list[str]) -> list[tuple[bytes | None, int, bytes | None, np.ndarray | None]]:
+    """Digest, number of shingles, 32-bit signature and band hashes of each text; nulls without words."""
+    out: list[tuple] = []
+    waiting: list[tuple[int, list[bytes]]] = []
+    held = 0
+
+    def flush() -> None:
+        multisets = shingles_of([words for _, words in waiting])
+        mixed = _mix(signatures(multisets))
+        bands = np.tile(np.arange(BANDS, dtype=np.uint64), (len(waiting), 1))
+        for k in range(ROWS):
+            bands = _mix(bands * _GOLDEN + mixed.reshape(-1, BANDS, ROWS)[:, :, k])
+        for (at, words), (_, counts), sig, band in zip(waiting, multisets, mixed, bands.view(np.int64), strict=True):
+            out[at] = (text_key(words), int(counts.sum()), (sig & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), band)
+        waiting.clear()
+
+    for text in texts:
+        words = words_of(text)
+        out.append((None, 0, None, None))
+        if words:
+            waiting.append((len(out) - 1, words))
+            held += len(words)
+        if held >= BATCH_WORDS:
+            flush()
+            held = 0
+    if waiting:
+        flush()
+    return out
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -137,14 +204,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sketches(texts: pd.Series) -> pd.DataFrame:
-    rows = [sketch(t) or (None, 0, None, None) for t in texts]
-    return pd.DataFrame(rows, columns=["key", "n", "sig", "bands"])
+    return pd.DataFrame(sketches(list(texts)), columns=["key", "n", "sig", "bands"])
 
 
 def _keys(texts: pd.Series) -> pd.Series:
     def key(text: str) -> bytes | None:
         words = words_of(text)
-        return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+        return text_key(words) if words else None
 
     return pd.Series([key(t) for t in texts], dtype=object)
 
@@ -237,13 +303,14 @@ def _still_open(members: DataFrame, texts: DataFrame, roots: DataFrame) -> DataF
 
 
 def _bodies(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """One text for each of `keys`."""
+    """One text for each of `keys`. While the keys are few, only their texts are shuffled."""
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
     texts = docs.select(text_of("text").alias("text")).select(key_column(F.col("text")).alias("key"), "text")
-    return texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    return checkpoint(texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
 
 
 def _both_ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    return checkpoint(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
 
 
 def classes_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -255,7 +322,9 @@ def classes_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = checkpoint(texts.agg(*[F.first(c).alias(c) for c in ("n", "sig", "bands")]))
     banded = texts.select("key", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = checkpoint(banded.join(shared.select("bucket", "leader"), "bucket"))
+    shared = checkpoint(shared.select("bucket", "leader"))
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    members = checkpoint(banded.join(shared, "bucket"))
     pairs = checkpoint(members.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct())
     edges = checkpoint(verified(pairs, _bodies(docs, _both_ends(pairs))))
     roots = components(edges)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from restitch.llm import linear
 from restitch.llm.common import bounded_sample, text_of, whole
 
-MOST_LABELLED = 8_000
+MOST_LABELLED = 5_000
 FOLDS = 4
 # Below 1, flagging a clean document counts for more than missing a toxic one.
 BETA = 0.5

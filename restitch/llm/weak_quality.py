@@ -27,7 +27,7 @@ from restitch.llm import linear
 from restitch.llm.common import bounded_sample, checkpoint, text_of, whole
 from restitch.llm.quality_rules import statistics
 
-MOST_TRAINING = 8_000
+MOST_TRAINING = 5_000
 KEEP_FROM = 0.5
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
