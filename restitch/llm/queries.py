@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restitch.llm import chat, decontaminate, near_dedup, packing, quality_rules, toxicity, url_filter, warc, weak_quality
+from restitch.llm import chat, decontaminate, near_dedup, packing, pii, quality_rules, toxicity, url_filter, warc, weak_quality
 from restitch.llm.common import checkpoint, scratch, table
 
 # Hosts with these words in their names make up the list of op4.
@@ -61,6 +61,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.classify_quality(docs).select("row.doc_id", "posterior", "score", "kept")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = pii.spans_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return report.select("row.doc_id", *[c for c in report.columns if c != "row"])
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_warc": op5_warc,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_pii": op7_pii,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
