@@ -13,9 +13,9 @@ earliest time. Points come in order of time, so a text needs about `SIZE * ln(SI
 in all, and equal components are an unbiased estimate of the similarity.
 
 `BANDS` bands of `ROWS` components find a pair of similarity 0.8 but for three in a million.
-Members of a bucket are compared with one leader first; buckets whose members are then still
-of several classes are completed pair by pair across classes, in blocks, so that no link is lost
-and no group is expanded into all pairs. Exact copies are one node; nodes are 128-bit digests.
+Members of a bucket are compared with one leader first. Where buckets connect texts that are then
+still of several classes, these are compared across classes, in blocks, until links make them
+one; so no link that matters is lost and no pairs are written but those that are links. Exact copies are one node; nodes are 128-bit digests.
 
 Null and empty texts have no words and stand alone. Repeated rows are copies of each other.
 """
@@ -38,13 +38,13 @@ SIMILARITY = 0.8
 SIZE = 96
 ROWS = 4
 BANDS = SIZE // ROWS
-# Pairs whose signatures agree in less are not compared when buckets are completed: 0.8 less four deviations.
+# Pairs whose signatures agree in less are not compared across classes: 0.8 less nearly four deviations.
 LEAST_ESTIMATE = 0.65
-BLOCK = 512
-CACHE_WORDS = 400_000
+BLOCK = 256
+CACHE_WORDS = 200_000
 # Work of a Python worker at a time: words sketched together, processes advanced together.
-BATCH_WORDS = 50_000
-BATCH_PROCESSES = 100_000
+BATCH_WORDS = 25_000
+BATCH_PROCESSES = 50_000
 # Tables of at most so many keys or buckets (some 60 MB) are sent to all executors; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 # Times are whole numbers, so that sums don't depend on the order of adding.
@@ -266,27 +266,54 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def _across(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different classes in two blocks of a bucket that lengths and signatures allow."""
-    frame = frame.drop_duplicates(["key", "side"]).sort_values("key")
-    left, right = (frame[frame["side"].isin(s)].reset_index(drop=True) for s in ((0, 2), (1, 2)))
-    sig = np.stack([np.frombuffer(s, "<u4") for s in right["sig"]]) if len(right) else np.zeros((0, SIZE))
-    n, root = right["n"].to_numpy(float), right["root"].to_numpy(object)
+    """Links between different classes in two blocks of a cluster.
+
+    Classes that a link joins count as one from then on, so each link found spares the others
+    between them; pairs that lengths or signatures rule out are not compared.
+    """
+    left, right = (frame[frame["side"].isin(s)].sort_values("key").reset_index(drop=True) for s in ((0, 2), (1, 2)))
+    same_block = bool((frame["side"] == 2).any())
+    joined: dict[bytes, bytes] = {}
+
+    def root_of(root: bytes) -> bytes:
+        while root in joined:
+            root = joined[root]
+        return root
+
+    multisets = {key: None for key in [*left["key"], *right["key"]]}
+    texts = dict(zip([*left["key"], *right["key"]], [*left["text"], *right["text"]], strict=True))
+
+    def multiset(key: bytes) -> tuple[np.ndarray, np.ndarray]:
+        multisets[key] = multisets[key] or shingles(words_of(texts[key]))
+        return multisets[key]
+
+    sig = np.stack([np.frombuffer(s, "<u4") for s in right["sig"]]) if len(right) else np.zeros((0, SIZE), np.uint32)
+    n, keys, roots = right["n"].to_numpy(float), right["key"].tolist(), right["root"].tolist()
     found = []
-    for key, own, size, own_sig in zip(left["key"], left["root"], left["n"], left["sig"], strict=True):
-        fits = (np.minimum(n, size) >= SIMILARITY * np.maximum(n, size)) & (root != own)
+    for place, (key, root, size, own) in enumerate(zip(left["key"], left["root"], left["n"], left["sig"], strict=True)):
+        fits = np.minimum(n, size) >= SIMILARITY * np.maximum(n, size)
+        if same_block:
+            fits[: place + 1] = False
         at = np.flatnonzero(fits)
-        at = at[(sig[at] == np.frombuffer(own_sig, "<u4")).mean(axis=1) >= LEAST_ESTIMATE] if len(at) else at
-        found += [(max(key, right["key"][k]), min(key, right["key"][k])) for k in at]
-    return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
-
-
-def _still_open(members: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs across classes in buckets that hold several."""
-    placed = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = placed.groupBy("bucket").agg(F.count("*").alias("size"), (F.min("root") != F.max("root")).alias("mixed"))
-    # Of two members one is the leader, and that pair has been compared.
-    mixed = mixed.where("mixed and size > 2").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    there = placed.join(mixed.select("bucket", "blocks"), "bucket").join(texts.select("key", "n", "sig"), "key")
+        at = at[(sig[at] == np.frombuffer(own, "<u4")).mean(axis=1) >= LEAST_ESTIMATE]
+        for k in at.tolist():
+            one, other = root_of(root), root_of(roots[k])
+            if one != other and similarity(multiset(key), multiset(keys[k])) >= SIMILARITY:
+                found.append((max(key, keys[k]), min(key, keys[k])))
+                joined[max(one, other)] = min(one, other)
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def _links_across(docs: DataFrame, pairs: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between classes within a cluster, the keys that buckets connect whether similar or not."""
+    clusters = components(pairs).withColumnRenamed("root", "cluster")
+    ends = clusters.unionByName(clusters.select(F.col("cluster").alias("key"), "cluster").distinct())
+    placed = ends.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = placed.groupBy("cluster").agg(F.count("*").alias("size"), (F.min("root") != F.max("root")).alias("mixed"))
+    # Of two members one was the other's leader, and that pair has been compared.
+    mixed = mixed.where("mixed and size > 2").select("cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    there = checkpoint(placed.join(mixed, "cluster"))
+    there = there.join(texts.select("key", "n", "sig"), "key").join(_bodies(docs, there.select("key")), "key")
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # A block meets itself and every other one: side 0 in front, 1 behind, 2 both.
     meets = F.transform(
@@ -297,9 +324,9 @@ def _still_open(members: DataFrame, texts: DataFrame, roots: DataFrame) -> DataF
             F.when(own == k, 2).when(own < k, 0).otherwise(1).alias("side"),
         ),
     )
-    dealt = there.select("bucket", "key", "root", "n", "sig", F.explode(meets).alias("m"))
-    dealt = dealt.select("bucket", "m.i", "m.j", "m.side", "key", "root", "n", "sig")
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(_across, "a binary, b binary").distinct()
+    dealt = there.select("cluster", "key", "root", "n", "sig", "text", F.explode(meets).alias("m"))
+    dealt = dealt.select("cluster", "m.i", "m.j", "m.side", "key", "root", "n", "sig", "text")
+    return checkpoint(dealt.groupBy("cluster", "i", "j").applyInPandas(_across, "a binary, b binary").distinct())
 
 
 def _bodies(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -324,15 +351,13 @@ def classes_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = banded.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("size")).where("size > 1")
     shared = checkpoint(shared.select("bucket", "leader"))
     shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-    members = checkpoint(banded.join(shared, "bucket"))
+    members = banded.join(shared, "bucket")
     pairs = checkpoint(members.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct())
     edges = checkpoint(verified(pairs, _bodies(docs, _both_ends(pairs))))
     roots = components(edges)
-    more = _still_open(members.select("bucket", "key"), texts, roots).join(pairs, ["a", "b"], "left_anti")
-    more = checkpoint(more)
+    more = _links_across(docs, pairs, texts, roots)
     if not more.isEmpty():
-        edges = edges.unionByName(verified(more, _bodies(docs, _both_ends(more))))
-        roots = components(edges)
+        roots = components(edges.unionByName(more))
     return rows, roots
 
 
