@@ -176,9 +176,14 @@ def _near(text: Column, spans: Column, kind: str) -> Column:
             F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity"),
             F.lit(kind).alias("kind"),
             F.concat(
-                F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))),
+                # Words that the edges may have cut are left out.
+                F.regexp_replace(
+                    F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))),
+                    r"^\p{L}+",
+                    "",
+                ),
                 F.lit(" | "),
-                F.substr(text, s["stop"] + 1, F.lit(CONTEXT)),
+                F.regexp_replace(F.substr(text, s["stop"] + 1, F.lit(CONTEXT)), r"\p{L}+$", ""),
             ).alias("context"),
         ),
     )
@@ -233,7 +238,9 @@ def found_spans(docs: DataFrame) -> DataFrame:
         return based.withColumn("terms", _nothing())
     known = F.broadcast(terms) if n <= BROADCAST_TERMS else terms
     text = text_of("text")
-    hits = docs.select(F.sha2(text, 256).alias("digest"), F.explode(_terms(text)).alias("term")).distinct().join(known, "term")
+    # Joined before anything is shuffled: of all words only the hits are left.
+    hits = docs.select(F.sha2(text, 256).alias("digest"), F.explode(_terms(text)).alias("term")).join(known, "term")
+    hits = hits.groupBy("digest", "term").agg(F.first("kind").alias("kind"), F.first("disclosure").alias("disclosure"))
     instead = F.when(F.col("disclosure") >= REMOVE, "").otherwise(F.concat(F.lit("["), F.upper("kind"), F.lit(" CONTEXT]")))
     of_text = checkpoint(hits.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", instead))).alias("hits")))
     of_text = F.broadcast(of_text) if of_text.count() <= BROADCAST_TERMS else of_text
