@@ -40,7 +40,9 @@ ROWS = 4
 BANDS = SIZE // ROWS
 # Pairs whose signatures agree in less are not compared across classes: 0.8 less nearly four deviations.
 LEAST_ESTIMATE = 0.65
-BLOCK = 256
+# A block of a cluster holds about so many texts, and words, at most.
+BLOCK_TEXTS = 4096
+BLOCK_WORDS = 1_200_000
 CACHE_WORDS = 200_000
 # Work of a Python worker at a time: words sketched together, processes advanced together.
 BATCH_WORDS = 25_000
@@ -308,12 +310,14 @@ def _links_across(docs: DataFrame, pairs: DataFrame, texts: DataFrame, roots: Da
     """Links between classes within a cluster, the keys that buckets connect whether similar or not."""
     clusters = components(pairs).withColumnRenamed("root", "cluster")
     ends = clusters.unionByName(clusters.select(F.col("cluster").alias("key"), "cluster").distinct())
-    placed = ends.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = placed.groupBy("cluster").agg(F.count("*").alias("size"), (F.min("root") != F.max("root")).alias("mixed"))
+    placed = ends.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(texts.select("key", "n", "sig"), "key")
+    mixed = placed.groupBy("cluster").agg(
+        F.count("*").alias("size"), F.sum("n").alias("words"), (F.min("root") != F.max("root")).alias("mixed")
+    )
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_TEXTS, F.col("words") / BLOCK_WORDS)).cast("int").alias("blocks")
     # Of two members one was the other's leader, and that pair has been compared.
-    mixed = mixed.where("mixed and size > 2").select("cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    there = checkpoint(placed.join(mixed, "cluster"))
-    there = there.join(texts.select("key", "n", "sig"), "key").join(_bodies(docs, there.select("key")), "key")
+    there = checkpoint(placed.join(mixed.where("mixed and size > 2").select("cluster", blocks), "cluster"))
+    there = there.join(_bodies(docs, there.select("key")), "key")
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # A block meets itself and every other one: side 0 in front, 1 behind, 2 both.
     meets = F.transform(
