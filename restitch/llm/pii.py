@@ -196,29 +196,38 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
         F.xxhash64("row").alias("doc"), F.explode(F.concat(*[_near(F.col("text"), F.col(f"base.{k}"), k) for k in KINDS])).alias("m")
     )
     mentions = checkpoint(mentions.select("doc", "m.*"))
-    entities = mentions.groupBy("entity").agg(F.count_distinct("doc").alias("n_e")).where(F.col("n_e") >= LEAST_CONTEXTS)
-    around = mentions.join(entities, "entity").select(
+    n = docs.count()
+    entities = mentions.groupBy("entity").agg(F.count_distinct("doc").alias("n_e"))
+    around = mentions.select(
         "entity",
         "kind",
-        "n_e",
         "doc",
         F.xxhash64("context").alias("context"),
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(TERM), F.lit(0)))).alias("term"),
-    )
-    met = around.distinct().groupBy("entity", "kind", "n_e", "term")
+    ).distinct()
+    near_any = around.groupBy("term").agg(F.count_distinct("doc").alias("n_near"))
+    met = around.groupBy("entity", "kind", "term")
     met = met.agg(F.count_distinct("doc").alias("n_et"), F.count_distinct("context").alias("contexts"))
-    met = checkpoint(met.where((F.col("n_et") >= LEAST_CONTEXTS) & (F.col("contexts") >= LEAST_CONTEXTS)))
+    met = met.where((F.col("n_et") >= LEAST_CONTEXTS) & (F.col("contexts") >= LEAST_CONTEXTS)).join(entities, "entity")
+    # A term occurs at least where it is near any entity, so this is the most it can give away.
+    most = _told(n, F.col("n_near")) >= GENERALISE * _information(n)
+    met = checkpoint(met.join(near_any, "term").where((_information(n) > 0) & most))
     terms = _few(met.select("term").distinct())
     words = docs.select(F.explode(_terms(text_of("text"))).alias("term"))
     seen = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = docs.count()
-    told = F.log2(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    information = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    given = met.join(seen, "term").where(information > 0).withColumn("disclosure", told / information)
+    given = met.join(seen, "term").withColumn("disclosure", _told(n, F.col("n_t")) / _information(n))
     strongest = F.max(F.struct("disclosure", "kind")).alias("most")
     return given.where(F.col("disclosure") >= GENERALISE).groupBy("term").agg(strongest).select("term", "most.kind", "most.disclosure")
 
 
+def _told(n: int, n_term: Column) -> Column:
+    return F.log2(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * n_term))
+
+
+def _information(n: int) -> Column:
+    return F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
+
+
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
