@@ -41,8 +41,8 @@ BANDS = SIZE // ROWS
 # Pairs whose signatures agree in less are not compared across classes: 0.8 less nearly four deviations.
 LEAST_ESTIMATE = 0.65
 # A block of a cluster holds about so many texts, and words, at most.
-BLOCK_TEXTS = 4096
-BLOCK_WORDS = 1_200_000
+BLOCK_TEXTS = 1024
+BLOCK_WORDS = 300_000
 CACHE_WORDS = 200_000
 # Work of a Python worker at a time: words sketched together, processes advanced together.
 BATCH_WORDS = 25_000
