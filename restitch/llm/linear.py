@@ -16,7 +16,7 @@ import numpy as np
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -43,9 +43,10 @@ LEAST_ESTIMATE = 0.65
 # A block of a cluster holds about so many texts, and words, at most.
 BLOCK_TEXTS = 1024
 BLOCK_WORDS = 300_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 # Work of a Python worker at a time: words sketched together, processes advanced together.
 BATCH_WORDS = 25_000
+BATCH_TEXTS = 64
 BATCH_PROCESSES = 50_000
 # Tables of at most so many keys or buckets (some 60 MB) are sent to all executors; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -189,7 +190,7 @@ def sketches(texts: list[str]) -> list[tuple[bytes | None, int, bytes | None, np
         if words:
             waiting.append((len(out) - 1, words))
             held += len(words)
-        if held >= BATCH_WORDS:
+        if held >= BATCH_WORDS or len(waiting) >= BATCH_TEXTS:
             flush()
             held = 0
     if waiting:

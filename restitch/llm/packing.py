@@ -31,8 +31,8 @@ from restitch.llm.common import checkpoint, text_of
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-# Words kept with their ids by each worker, some 100 MB; twice as many while generations change.
-CACHE_WORDS = 400_000
+# Words that a generation of each worker keeps with their ids, some 30 MB.
+CACHE_WORDS = 120_000
 # Marks that end a token of letters and start one of their own.
 ENDINGS = frozenset(".,;:!?")
 # Pieces of one length are ranked in so many parts.
