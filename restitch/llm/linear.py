@@ -96,8 +96,8 @@ def fit(
     y: np.ndarray,
     most_features: int = 4096,
     least_rows: int = 3,
-    l1: float = 2.0,
-    steps: int = 200,
+    l1: float = 1.0,
+    steps: int = 300,
 ) -> Model:
     """Fit to targets from 0 to 1. One target only, or no rows, give a constant model.
 
@@ -122,23 +122,25 @@ def fit(
     col, row = at[there], x.row[there]
     k = len(chosen)
     w, d, b = np.zeros(k), np.zeros(dense.shape[1]), prior
-    # Step sizes per column from the largest curvature that it can have (rows hold several words each).
-    per_row = max(1.0, float(np.bincount(row, minlength=x.n).max()) if k else 1.0) ** 0.5
-    curve = 0.25 * np.maximum(np.bincount(col, minlength=k), 1) * per_row
-    dense_curve = 0.25 * np.maximum((dense**2).sum(axis=0), 1) * per_row
-    ahead, ahead_d, momentum = w.copy(), d.copy(), 1.0
+    # Steps that can't overshoot: a column's curvature is at most a quarter of the sums of its rows.
+    sums = np.bincount(row, minlength=x.n) + np.abs(dense).sum(axis=1) + 1
+    curve = 0.25 * np.maximum(np.bincount(col, sums[row], k), 1)
+    dense_curve = 0.25 * np.maximum((np.abs(dense) * sums[:, None]).sum(axis=0), 1)
+    bias_curve = 0.25 * sums.sum()
+    ahead, ahead_d, ahead_b, momentum = w.copy(), d.copy(), b, 1.0
     for _ in range(steps):
-        z = b + np.bincount(row, ahead[col], x.n) + dense @ ahead_d
+        z = ahead_b + np.bincount(row, ahead[col], x.n) + dense @ ahead_d
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         step = ahead - np.bincount(col, error[row], k) / curve
         new = np.sign(step) * np.maximum(np.abs(step) - l1 / curve, 0)
         new_d = ahead_d - (dense.T @ error) / dense_curve
-        b -= error.sum() / (0.25 * x.n * per_row)
+        new_b = ahead_b - error.sum() / bias_curve
         following = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         pace = (momentum - 1) / following
         if ((new - w) * (ahead - new)).sum() > 0:  # it has gone too far: start the momentum anew
             following, pace = 1.0, 0.0
         ahead, ahead_d = new + pace * (new - w), new_d + pace * (new_d - d)
-        w, d, momentum = new, new_d, following
+        ahead_b = new_b + pace * (new_b - b)
+        w, d, b, momentum = new, new_d, new_b, following
     kept = np.flatnonzero(w)
     return Model(chosen[kept], w[kept], d, b)
