@@ -213,8 +213,9 @@ def _threshold(judged: DataFrame, labels: DataFrame) -> float:
     allowed = np.flatnonzero(lost <= GOOD_LOSS)
     if not len(allowed) or not caught[allowed[0]]:
         return 1.0
-    # Of thresholds that catch the same rows the highest, so that unlabelled good rows keep a margin.
-    return float(allowed[caught[allowed] == caught[allowed[0]]][-1]) / _BINS
+    # Of thresholds that catch the same rows the middle one, a margin for unlabelled rows on both sides.
+    same = allowed[caught[allowed] == caught[allowed[0]]]
+    return float(same[0] + same[-1]) / 2 / _BINS
 
 
 def fit(measured: DataFrame, labels: DataFrame) -> Forest | None:

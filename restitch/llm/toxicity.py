@@ -14,6 +14,7 @@ labels all probabilities are even and nothing is flagged. Repeated rows get equa
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -91,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], mos
     rows["key"] = [np.asarray(ids, np.int32).tobytes() for ids in rows["ids"]]
     rows = rows.sort_values(["key", "doc_id"]).drop_duplicates("key").sort_values("doc_id").reset_index(drop=True)
     ys = rows[[f"y{k}" for k in range(len(categories))]].to_numpy(int).reshape(len(rows), len(categories))
-    fold = np.arange(len(rows)) % FOLDS
+    fold = np.array([zlib.crc32(key) % FOLDS for key in rows["key"]], np.int64)
     return fit_chain(linear.Rows.of(rows["ids"].tolist()), ys, list(categories), fold)
 
 
