@@ -210,16 +210,13 @@ def _sketches(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(sketches(list(texts)), columns=["key", "n", "sig", "bands"])
 
 
-def _keys(texts: pd.Series) -> pd.Series:
-    def key(text: str) -> bytes | None:
-        words = words_of(text)
-        return text_key(words) if words else None
-
-    return pd.Series([key(t) for t in texts], dtype=object)
+def fingerprint(text: Column) -> Column:
+    """128 bits by which a text is found again without Python; copies up to case and spacing have several."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
-def key_column(text: Column) -> Column:
-    return F.pandas_udf(_keys, "binary")(text)
+def has_words(text: Column) -> Column:
+    return text.rlike(r"[^\x20\x09-\x0D]")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -311,14 +308,15 @@ def _links_across(docs: DataFrame, pairs: DataFrame, texts: DataFrame, roots: Da
     """Links between classes within a cluster, the keys that buckets connect whether similar or not."""
     clusters = components(pairs).withColumnRenamed("root", "cluster")
     ends = clusters.unionByName(clusters.select(F.col("cluster").alias("key"), "cluster").distinct())
-    placed = ends.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(texts.select("key", "n", "sig"), "key")
+    placed = ends.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = placed.join(texts.select("key", "n", "sig", "fingerprint"), "key")
     mixed = placed.groupBy("cluster").agg(
         F.count("*").alias("size"), F.sum("n").alias("words"), (F.min("root") != F.max("root")).alias("mixed")
     )
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK_TEXTS, F.col("words") / BLOCK_WORDS)).cast("int").alias("blocks")
     # Of two members one was the other's leader, and that pair has been compared.
     there = checkpoint(placed.join(mixed.where("mixed and size > 2").select("cluster", blocks), "cluster"))
-    there = there.join(_bodies(docs, there.select("key")), "key")
+    there = there.join(_bodies(docs, there.select("key", "fingerprint")), "key")
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # A block meets itself and every other one: side 0 in front, 1 behind, 2 both.
     meets = F.transform(
@@ -334,31 +332,34 @@ def _links_across(docs: DataFrame, pairs: DataFrame, texts: DataFrame, roots: Da
     return checkpoint(dealt.groupBy("cluster", "i", "j").applyInPandas(_across, "a binary, b binary").distinct())
 
 
+def _if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _bodies(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """One text for each of `keys`. While the keys are few, only their texts are shuffled."""
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    texts = docs.select(text_of("text").alias("text")).select(key_column(F.col("text")).alias("key"), "text")
-    return checkpoint(texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    """The text of each of `keys (key, fingerprint)`. While the keys are few, only their texts are shuffled."""
+    texts = docs.select(text_of("text").alias("text")).withColumn("fingerprint", fingerprint(F.col("text")))
+    return checkpoint(texts.join(_if_small(keys), "fingerprint").groupBy("key").agg(F.first("text").alias("text")))
 
 
-def _both_ends(pairs: DataFrame) -> DataFrame:
-    return checkpoint(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+def _both_ends(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    return checkpoint(ends.join(texts.select("key", "fingerprint"), "key"))
 
 
 def classes_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows `(doc_id, key)` of all documents, and `(key, root)` for keys with near-duplicates."""
-    sketched = docs.select("doc_id", F.pandas_udf(_sketches, "key binary, n long, sig binary, bands array<long>")(text_of("text")).alias("s"))
-    sketched = checkpoint(sketched.select("doc_id", "s.*"))
-    rows = sketched.select("doc_id", "key")
+    """Rows `(doc_id, key, fingerprint)` of all documents, and `(key, root)` for keys with near-duplicates."""
+    sketch = F.pandas_udf(_sketches, "key binary, n long, sig binary, bands array<long>")(text_of("text")).alias("s")
+    sketched = docs.select("doc_id", fingerprint(text_of("text")).alias("fingerprint"), sketch)
+    sketched = checkpoint(sketched.select("doc_id", "fingerprint", "s.*"))
+    rows = sketched.select("doc_id", "key", "fingerprint")
     texts = sketched.where(F.col("key").isNotNull()).groupBy("key")
-    texts = checkpoint(texts.agg(*[F.first(c).alias(c) for c in ("n", "sig", "bands")]))
+    texts = checkpoint(texts.agg(F.min("fingerprint").alias("fingerprint"), *[F.first(c).alias(c) for c in ("n", "sig", "bands")]))
     banded = texts.select("key", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    shared = checkpoint(shared.select("bucket", "leader"))
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-    members = banded.join(shared, "bucket")
+    members = banded.join(_if_small(checkpoint(shared.select("bucket", "leader"))), "bucket")
     pairs = checkpoint(members.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct())
-    edges = checkpoint(verified(pairs, _bodies(docs, _both_ends(pairs))))
+    edges = checkpoint(verified(pairs, _bodies(docs, _both_ends(pairs, texts))))
     roots = components(edges)
     more = _links_across(docs, pairs, texts, roots)
     if not more.isEmpty():
@@ -383,17 +384,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without words all stay; of fully repeated rows one does.
     """
     rows, roots = classes_of_texts(docs)
-    counted = rows.where(F.col("key").isNotNull()).groupBy("key", "doc_id").agg(F.count("*").alias("n"))
+    counted = rows.where(F.col("key").isNotNull()).groupBy("key", "doc_id", "fingerprint").agg(F.count("*").alias("n"))
     placed = counted.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     # Nulls last, so that a row with an id stays where there is one.
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "n")).alias("best")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fingerprint", "n")).alias("best")
     chosen = checkpoint(placed.groupBy("root").agg(best).select("best.*"))
-    keyed = docs.select(whole(), F.col("doc_id"), key_column(text_of("text")).alias("key"))
-    wordless = keyed.where(F.col("key").isNull()).select("row.*")
-    same_id = keyed["doc_id"].eqNullSafe(chosen["doc_id"])
-    kept = keyed.where(F.col("key").isNotNull()).join(chosen, (keyed["key"] == chosen["key"]) & same_id)
-    if chosen.where("n > 1").isEmpty():
+
+    def among(df: DataFrame, others: DataFrame, how: str) -> DataFrame:
+        same = (df["fingerprint"] == others["fingerprint"]) & df["doc_id"].eqNullSafe(others["doc_id"])
+        return df.join(others, same, how)
+
+    # Those that go are fewer than those that stay, so while they are few no text is shuffled.
+    gone = checkpoint(among(counted, chosen, "left_anti").select("doc_id", "fingerprint"))
+    text = text_of("text")
+    keyed = docs.select(whole(), "doc_id", fingerprint(text).alias("fingerprint"), has_words(text).alias("has_words"))
+    wordless = keyed.where("not has_words").select("row.*")
+    kept = among(keyed.where("has_words"), _if_small(gone), "left_anti")
+    repeated = checkpoint(chosen.where("n > 1").select("doc_id", "fingerprint"))
+    if repeated.isEmpty():
         return kept.select("row.*").unionByName(wordless)
-    once = kept.where("n = 1").select("row.*")
-    again = kept.where("n > 1").select("row", chosen["key"].alias("key")).dropDuplicates(["key"]).select("row.*")
-    return once.unionByName(again).unionByName(wordless)
+    repeated = _if_small(repeated)
+    again = among(kept, repeated, "left_semi").dropDuplicates(["fingerprint"])
+    return among(kept, repeated, "left_anti").unionByName(again).select("row.*").unionByName(wordless)

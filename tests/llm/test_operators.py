@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from restitch.llm import (
@@ -94,6 +95,16 @@ def test_links_across_classes_of_a_chain_are_found(spark):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_one_row_of_a_class_stays_however_its_copies_are_spelled(spark):
+    base = " ".join(f"word{k}" for k in range(40))
+    rows = [(5, base), (2, base.upper()), (2, base.upper()), (2, base.replace(" ", "\n")), (9, base + " end")]
+    rows += [(None, base), (1, " \t"), (1, " \t"), (None, None), (7, "quite another text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit("mine"))
+    got = near_dedup.keep_one(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "7", "None"]
+    assert {r["fingerprint"] for r in got} == {"mine"}
+
+
 def test_signatures_estimate_the_weighted_similarity():
     rng, errors = np.random.default_rng(3), []
     for _ in range(150):
