@@ -347,6 +347,16 @@ def _both_ends(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpoint(ends.join(texts.select("key", "fingerprint"), "key"))
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """`roots (key, root)` after `links (a, b)` between its classes; only the classes are connected anew."""
+    for end in ("a", "b"):
+        named = roots.select(F.col("key").alias(end), "root")
+        links = links.join(named, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    new = components(links)
+    moved = roots.join(new.select(F.col("key").alias("root"), F.col("root").alias("new")), "root", "left")
+    return moved.select("key", F.coalesce("new", "root").alias("root")).unionByName(new)
+
+
 def classes_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows `(doc_id, key, fingerprint)` of all documents, and `(key, root)` for keys with near-duplicates."""
     sketch = F.pandas_udf(_sketches, "key binary, n long, sig binary, bands array<long>")(text_of("text")).alias("s")
@@ -362,9 +372,7 @@ def classes_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = checkpoint(verified(pairs, _bodies(docs, _both_ends(pairs, texts))))
     roots = components(edges)
     more = _links_across(docs, pairs, texts, roots)
-    if not more.isEmpty():
-        roots = components(edges.unionByName(more))
-    return rows, roots
+    return rows, roots if more.isEmpty() else _merged(roots, more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -105,6 +105,16 @@ def test_one_row_of_a_class_stays_however_its_copies_are_spelled(spark):
     assert {r["fingerprint"] for r in got} == {"mine"}
 
 
+def test_merged_classes_are_components_of_all_links(spark):
+    links = [(b"b", b"a"), (b"c", b"b"), (b"f", b"e"), (b"h", b"g")]
+    more = [(b"f", b"c"), (b"z", b"h")]
+    edges = spark.createDataFrame(links, "a binary, b binary")
+    extra = spark.createDataFrame(more, "a binary, b binary")
+    got = near_dedup._merged(near_dedup.components(edges), extra).collect()
+    want = near_dedup.components(edges.unionByName(extra)).collect()
+    assert sorted((bytes(r["key"]), bytes(r["root"])) for r in got) == sorted((bytes(r["key"]), bytes(r["root"])) for r in want)
+
+
 def test_signatures_estimate_the_weighted_similarity():
     rng, errors = np.random.default_rng(3), []
     for _ in range(150):
