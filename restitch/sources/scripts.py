@@ -7,6 +7,7 @@ of a script are ordered by `(chunk, pos)`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,8 +21,14 @@ _ANY_BREAK = r"\r\n|\n|\r"
 MAX_SCRIPTS = 500_000
 
 
-def _file_key(uri: Column) -> Column:
-    return F.regexp_replace(uri, "^file:/+", "file:/")
+def _file_key(name: Column) -> Column:
+    return F.regexp_replace(name, "^file:/+", "file:/")
+
+
+def _read_key() -> Column:
+    """Key of the file a row was read from; its metadata give the name as an escaped URI."""
+    escaped = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return _file_key(F.url_decode(escaped))
 
 
 def _resolve(spark: SparkSession, path: str) -> str:
@@ -32,11 +39,25 @@ def _resolve(spark: SparkSession, path: str) -> str:
         raise FileNotFoundError(f"script file not found: {path!r}")
     if hadoop_path.getName().startswith(("_", ".")):
         raise ValueError(f"Spark ignores files named like this: {path!r}")
-    return fs.makeQualified(hadoop_path).toUri().toString()
+    # Not as a URI, which would escape blanks and brackets.
+    return fs.makeQualified(hadoop_path).toString()
+
+
+def _as_pattern(path: str) -> str:
+    """A pattern that only this path fits; Spark takes the paths it reads as patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _resolved(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    return {path: _resolve(spark, path) for path in dict.fromkeys(paths)}
+
+
+def _to_read(known: dict[str, str]) -> list[str]:
+    """Each file once, however often and in whatever spelling it is listed."""
+    return [_as_pattern(uri) for uri in dict.fromkeys(known.values())]
 
 
-def _script_list(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    known = {path: _resolve(spark, path) for path in dict.fromkeys(paths)}
+def _script_list(spark: SparkSession, paths: Sequence[str], known: dict[str, str]) -> DataFrame:
     rows = [(idx, path, known[path]) for idx, path in enumerate(paths)]
     if len(rows) > MAX_SCRIPTS:
         raise ValueError(f"{len(rows)} scripts in one run; at most {MAX_SCRIPTS} are allowed")
@@ -46,13 +67,16 @@ def _script_list(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The scripts in run order with their sizes; a path listed twice runs twice."""
-    listed = _script_list(spark, paths)
+    known = _resolved(spark, paths)
+    listed = _script_list(spark, paths, known)
     sizes = (
         spark.read.format("binaryFile")
-        .load(list(dict.fromkeys(paths)))
-        .select(_file_key(F.col("_metadata.file_path")).alias("file_key"), F.col("length").alias("file_bytes"))
+        .load(_to_read(known))
+        .select(_read_key().alias("file_key"), F.col("length").alias("file_bytes"))
     )
-    return listed.join(sizes, "file_key", "left").select("script_idx", "script_path", "file_bytes")
+    unread = F.raise_error(F.concat(F.lit("script file not read: "), "script_path")).cast("long")
+    size = F.coalesce("file_bytes", unread).alias("file_bytes")
+    return listed.join(sizes, "file_key", "left").select("script_idx", "script_path", size)
 
 
 def scan_scripts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -61,10 +85,11 @@ def scan_scripts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     Each distinct file is read once; the list (driver-side by nature) is joined on.
     Bytes that are not UTF-8 become replacement characters.
     """
-    listed = _script_list(spark, paths)
+    known = _resolved(spark, paths)
+    listed = _script_list(spark, paths, known)
     pin_file_splits(spark)
-    scanned = spark.read.text(list(dict.fromkeys(paths))).select(
-        _file_key(F.col("_metadata.file_path")).alias("file_key"),
+    scanned = spark.read.text(_to_read(known)).select(
+        _read_key().alias("file_key"),
         F.col("_metadata.file_block_start").alias("chunk"),
         F.monotonically_increasing_id().alias("pos"),
         F.make_valid_utf8("value").alias("line"),

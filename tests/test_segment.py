@@ -8,52 +8,49 @@ from pyspark.sql import functions as F
 from restitch import Segmentation, lines_from_rows
 from tests.sequential import Walk
 
-TRIGGER = """
-AFTER UPDATE ON some_table
-FOR EACH ROW
+ROUTINE = """
+create procedure refill (in lot int)
 BEGIN
-    IF NEW.`flag` <> OLD.`flag`
-    THEN
-        insert into `logs` (`message`) values ('changed');
-    END IF
+    set @left := lot;
+    update bins set stock = stock + 1 where stock < lot;
+    select max(stock) from bins;
 END
 """
-TWO_BLOCKS = """
-AFTER UPDATE ON some_table
-FOR EACH ROW
+NOTED = """
+create event nightly on schedule every 1 day do
 BEGIN
---a note right after the start
-    insert into `logs` values ('one');
+-- old visits go
+    delete from visits where age > 90;
 END
 BEGIN
---a note right after the start
-    insert into `logs` values ('two');
+-- and so do their totals
+    truncate totals;
 END
 """
 
 # name, versioned comments kept, script, statements
 CASES = [
-    ("one open", False, "select * from foo", ["select * from foo"]),
-    ("one closed", False, "select * from foo;", ["select * from foo;"]),
-    ("two closed", False, "\nselect * from foo;\nselect * from bar;\n", ["select * from foo;", "select * from bar;"]),
+    ("one open", False, "delete from bins", ["delete from bins"]),
+    ("one closed", False, "delete from bins;", ["delete from bins;"]),
+    ("two closed", False, "\ndelete from bins;\ncall refill(3);\n", ["delete from bins;", "call refill(3);"]),
     (
         "terminator alone",
         False,
-        "\nselect * from foo\n;\nselect * from bar;\n",
-        ["select * from foo\n;", "select * from bar;"],
+        "\ndelete from bins\n;\ncall refill(3);\n",
+        ["delete from bins\n;", "call refill(3);"],
     ),
-    ("block stays whole", False, TRIGGER, [TRIGGER.strip("\n")]),
+    ("block stays whole", False, ROUTINE, [ROUTINE.strip("\n")]),
     (
         "block counted once",
         False,
-        TWO_BLOCKS,
+        NOTED,
         [
-            "AFTER UPDATE ON some_table\nFOR EACH ROW\nBEGIN\n    insert into `logs` values ('one');\nEND",
-            "BEGIN\n    insert into `logs` values ('two');\nEND",
+            "create event nightly on schedule every 1 day do\nBEGIN\n    delete from visits where age > 90;\nEND",
+            "BEGIN\n    truncate totals;\nEND",
         ],
     ),
-    ("versioned dropped", False, "/*!50001 Create*/", []),
-    ("versioned kept", True, "/*!50001 Create*/", ["/*!50001 Create*/"]),
+    ("versioned dropped", False, "/*!40000 lock bins */", []),
+    ("versioned kept", True, "/*!40000 lock bins */", ["/*!40000 lock bins */"]),
     ("long comment dropped", False, "/*!50001 note\nBEGIN\n x;\nEND*/\n", []),
     ("comment leaves terminator", False, "/*!40101 SET NAMES utf8 */;", [";"]),
     ("line ends only", False, "select 1; select 2;", ["select 1; select 2;"]),

@@ -50,6 +50,18 @@ def test_list_order_repeats_and_sizes(spark, tmp_path):
     assert got == [(0, "bad � byte;"), (0, "y;"), (1, "x;"), (2, "bad � byte;"), (2, "y;")]
 
 
+def test_names_are_not_patterns_and_spellings_are_one_file(spark, tmp_path):
+    names = ["two[1].sql", "two1.sql", "a{b,c}*?.sql", "plus + 100%25.sql", "back\\slash.sql"]
+    for k, name in enumerate(names):
+        (tmp_path / name).write_bytes(f"{k};\n".encode() * (k + 1))
+    paths = [str(tmp_path / name) for name in names]
+    paths += [f"file:{paths[1]}", f"file://{paths[1]}"]
+    want = [0, 1, 2, 3, 4, 1, 1]
+    got = sorted((r.script_idx, r.line) for r in scan_scripts(spark, paths).collect())
+    assert got == [(i, f"{k};") for i, k in enumerate(want) for _ in range(k + 1)]
+    assert [r.file_bytes for r in sorted(manifest(spark, paths).collect())] == [3 * (k + 1) for k in want]
+
+
 def test_missing_script_is_an_error(spark, tmp_path):
     for path in (tmp_path / "none.sql", tmp_path):
         with pytest.raises(FileNotFoundError):
