@@ -5,16 +5,24 @@ numbers. For each pattern a text falls into the matches and the gaps between the
 their lengths are the spans, in code points, end exclusive.
 
 Beyond the base, information-theoretic sanitisation (Sanchez and Batet): an entity is one
-value of the base, a term a word of letters near it (`CONTEXT` characters on either side). With
-n documents, n_e of them holding the entity, n_t the term and n_et both near each other,
+value of the base, a term a word of letters outside the base's spans, anywhere in a document
+that holds the entity. With n documents, n_e of them holding the entity, n_t the term and n_et
+both,
 
     information of the entity   IC  = log2(n / n_e)
     what the term gives away    PMI = log2(n * n_et / (n_e * n_t))
 
 A term that gives away `GENERALISE` of an entity's information is replaced by the kind of
-entity it points to, from `REMOVE` on it is removed, wherever it occurs. Only what is seen
-in `LEAST_CONTEXTS` different contexts and documents counts, so copies of one text prove nothing.
-All counts are over all documents.
+entity it points to, from `REMOVE` on it is removed, wherever it occurs. All counts are over
+all documents.
+
+However rare, a pair counts if chance doesn't explain it: Hoeffding's bound for meeting so
+often in independent documents, times the number of different terms, must be at most `CHANCE`,
+so that for each entity a wrong term is that unlikely. Near-copies of one text are one
+witness: documents of an entity that share any of `SKETCH` least hashes of their runs of
+`RUN` words. A single meeting has chance n_t / n, so entities of one document pass only where
+a table has far fewer terms than documents; elsewhere all words of a document that occur once
+meet its entities just as often as chance has it.
 
 Null and empty texts have no spans. Repeated rows get equal results and count as documents of
 their own. A match that fails its check (parts, digits, Luhn) is dropped and not tried again.
@@ -22,7 +30,9 @@ their own. A match that fails its check (parts, digits, Luhn) is dropped and not
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +51,11 @@ KINDS = ["email", "ip", "card", "phone"]
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][ -][0-9]", "phone": r"\+[0-9]"}
 
 TERM = r"\p{L}{3,}"
-CONTEXT = 60
 GENERALISE = 0.8
 REMOVE = 0.95
-LEAST_CONTEXTS = 5
+CHANCE = 0.05
+SKETCH = 8
+RUN = 8
 BROADCAST_TERMS = 200_000
 _BLOCK = 64
 _SPANS = "array<struct<start: int, stop: int, value: string>>"
@@ -168,56 +179,95 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs.select(whole(), text_of("text").alias("text")).withColumn("base", base_spans(F.col("text")))
 
 
-def _near(text: Column, spans: Column, kind: str) -> Column:
-    """Entity and surroundings of each span."""
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity"),
-            F.lit(kind).alias("kind"),
-            F.concat(
-                # Words that the edges may have cut are left out.
-                F.regexp_replace(
-                    F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))),
-                    r"^\p{L}+",
-                    "",
-                ),
-                F.lit(" | "),
-                F.regexp_replace(F.substr(text, s["stop"] + 1, F.lit(CONTEXT)), r"\p{L}+$", ""),
-            ).alias("context"),
-        ),
-    )
+def _entities() -> Column:
+    """The different entities of a row of `with_base`, as kind and value."""
+
+    def named(kind: str, s: Column) -> Column:
+        return F.concat(F.lit(f"{kind}:"), F.lower(s["value"]))
+
+    return F.array_distinct(F.concat(*[F.transform(F.col(f"base.{kind}"), partial(named, kind)) for kind in KINDS]))
+
+
+def _sketch(text: Column) -> Column:
+    """`SKETCH` least hashes of the runs of `RUN` words, each by a hash function of its own."""
+
+    def runs(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - RUN + 1, F.lit(1)))
+        return F.transform(starts, lambda k: F.xxhash64(F.slice(words, k, F.lit(RUN))))
+
+    def least(hashes: Column) -> Column:
+        places = F.sequence(F.lit(1), F.lit(SKETCH))
+        return F.transform(places, lambda k: F.array_min(F.transform(hashes, lambda r: F.xxhash64(r, k))))
+
+    return _once(_once(F.split(F.lower(text), r"\s+"), runs), least)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once, also where inner functions use it at each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _witnesses(holding: DataFrame, entities: DataFrame) -> DataFrame:
+    """`(entity, doc, witness)`: near-copies among the documents of an entity share a witness."""
+    held = holding.select("doc", "sketch", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity")
+    marks = held.select("entity", "doc", F.posexplode("sketch").alias("place", "mark"))
+    firsts = marks.groupBy("entity", "place", "mark").agg(F.min("doc").alias("first"))
+    joined = marks.join(firsts, ["entity", "place", "mark"])
+    return joined.groupBy("entity", "doc").agg(F.min("first").alias("witness"))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """`(term, kind, disclosure)`: terms that give away a protected entity, with the most that each gives away."""
-    based = with_base(docs)
-    mentions = based.where(F.size(listed({k: F.col(f"base.{k}") for k in KINDS})) > 0).select(
-        F.xxhash64("row").alias("doc"), F.explode(F.concat(*[_near(F.col("text"), F.col(f"base.{k}"), k) for k in KINDS])).alias("m")
+    based = with_base(docs).withColumn("entities", _entities()).where(F.size("entities") > 0)
+    bare = replaced(F.col("text"), "base", None, " ")
+    holding = based.select(
+        F.monotonically_increasing_id().alias("doc"), "entities", _sketch(F.col("text")).alias("sketch"), _terms(bare).alias("terms")
     )
-    mentions = checkpoint(mentions.select("doc", "m.*"))
+    holding = checkpoint(holding)
     n = docs.count()
-    entities = mentions.groupBy("entity").agg(F.count_distinct("doc").alias("n_e"))
-    around = mentions.select(
-        "entity",
-        "kind",
-        "doc",
-        F.xxhash64("context").alias("context"),
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(TERM), F.lit(0)))).alias("term"),
-    ).distinct()
-    near_any = around.groupBy("term").agg(F.count_distinct("doc").alias("n_near"))
-    met = around.groupBy("entity", "kind", "term")
-    met = met.agg(F.count_distinct("doc").alias("n_et"), F.count_distinct("context").alias("contexts"))
-    met = met.where((F.col("n_et") >= LEAST_CONTEXTS) & (F.col("contexts") >= LEAST_CONTEXTS)).join(entities, "entity")
-    # A term occurs at least where it is near any entity, so this is the most it can give away.
-    most = _told(n, F.col("n_near")) >= GENERALISE * _information(n)
-    met = checkpoint(met.join(near_any, "term").where((_information(n) > 0) & most))
-    terms = _few(met.select("term").distinct())
     words = docs.select(F.explode(_terms(text_of("text"))).alias("term"))
+    n_terms = words.agg(F.approx_count_distinct("term", 0.01)).first()[0]
+    least = log(max(n_terms, 1) / CHANCE)
+    entities = holding.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    # The most that an entity's documents can prove: a term in each of its witnesses and nowhere else.
+    entities = checkpoint(entities.where((_information(n) > 0) & (F.col("n_e") * _information(n) * log(2) >= least)))
+    witnesses = checkpoint(_witnesses(holding, entities))
+    proven = witnesses.groupBy("entity").agg(F.count_distinct("witness").alias("most"))
+    entities = entities.join(proven, "entity").where(F.col("most") * _information(n) * log(2) >= least).select("entity", "n_e")
+    entities = checkpoint(entities)
+    around = witnesses.join(entities, "entity").join(holding.select("doc", "terms"), "doc")
+    met = around.select("entity", "n_e", "witness", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term")
+    met = met.agg(F.count("*").alias("n_et"), F.count_distinct("witness").alias("witnesses"))
+    near_any = holding.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # A term occurs at least where there is any entity, so this is the most it can give away and prove.
+    met = met.join(near_any, "term").where(_gives_away(n) & (_evidence(n) >= least)).drop("n_t")
+    met = checkpoint(met)
+    terms = _few(met.select("term").distinct())
     seen = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    given = met.join(seen, "term").withColumn("disclosure", _told(n, F.col("n_t")) / _information(n))
-    strongest = F.max(F.struct("disclosure", "kind")).alias("most")
-    return given.where(F.col("disclosure") >= GENERALISE).groupBy("term").agg(strongest).select("term", "most.kind", "most.disclosure")
+    given = met.join(seen, "term").where(_gives_away(n) & (_evidence(n) >= least))
+    given = given.withColumn("disclosure", _told(n, F.col("n_t")) / _information(n))
+    strongest = F.max(F.struct("disclosure", F.substring_index("entity", ":", 1).alias("kind"))).alias("most")
+    return given.groupBy("term").agg(strongest).select("term", "most.kind", "most.disclosure")
+
+
+def _gives_away(n: int) -> Column:
+    return _told(n, F.col("n_t")) >= GENERALISE * _information(n)
+
+
+def _evidence(n: int) -> Column:
+    """Minus the natural logarithm of the bound on the chance to meet in `witnesses` documents or more.
+
+    Hoeffding (1963) for drawing without replacement: exp(-m KL(k / m, share)). Either side may be
+    taken for the draw, and the better bound holds.
+    """
+    k = F.col("witnesses").cast("double")
+
+    def bound(drawn: Column, others: Column) -> Column:
+        got, share = k / drawn, others / F.lit(float(max(n, 1)))
+        rest = F.when(got < 1, (1 - got) * F.log((1 - got) / (1 - share))).otherwise(0.0)
+        return F.when(share >= 1, 0.0).when(got > share, drawn * (got * F.log(got / share) + rest)).otherwise(0.0)
+
+    return F.greatest(bound(F.col("n_e"), F.col("n_t")), bound(F.col("n_t"), F.col("n_e")))
 
 
 def _told(n: int, n_term: Column) -> Column:
@@ -267,14 +317,15 @@ def found_spans(docs: DataFrame) -> DataFrame:
     return joined.withColumn("terms", F.when(F.col("hits").isNotNull(), spans).otherwise(_nothing())).drop("digest", "hits")
 
 
-def replaced(text: Column, base: str, terms: str) -> Column:
-    """Text with each span replaced; of spans that overlap, the first stands for all."""
+def replaced(text: Column, base: str, terms: str | None, by: str | None = None) -> Column:
+    """Text with each span replaced, those of the base by their kind or `by`; of spans that overlap, the first stands for all."""
 
     def named(kind: str, s: Column) -> Column:
-        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(f"[{kind.upper()}]").alias("value"))
+        value = f"[{kind.upper()}]" if by is None else by
+        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(value).alias("value"))
 
     parts = [F.transform(F.col(f"{base}.{kind}"), partial(named, kind)) for kind in KINDS]
-    spans = F.array_sort(F.concat(*parts, F.col(terms)))
+    spans = F.array_sort(F.concat(*parts, _nothing() if terms is None else F.col(terms)))
     pieces = F.aggregate(
         spans,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),

@@ -259,6 +259,20 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert "Zorbel" not in clean[3] and "[EMAIL]" in clean[3] and "other mail [EMAIL] text" in clean[101]
 
 
+def test_terms_of_rare_entities_are_found_anywhere_in_their_documents(spark):
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(n))
+    rows = [(k, f"Quintrell {prose(40)}. {prose(20)} q@rare.example {prose(20)}") for k in range(3)]
+    # Near-copies are one witness, so nothing is proven against their words.
+    copied = f"{prose(50)} Uncommonword {prose(50)} c@copied.example {prose(30)}"
+    rows += [(10 + k, f"{copied} {prose(1)}") for k in range(4)]
+    rows += [(100 + k, f"{prose(60)} u{k}@w.example {prose(20)}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r["term"], r["kind"]) for r in pii.disclosing_terms(docs).collect()] == [("quintrell", "email")]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).where("doc_id < 20").collect()}
+    assert not any("Quintrell" in clean[k] for k in range(3)) and "Uncommonword" in clean[10]
+
+
 # ---- 8
 
 
