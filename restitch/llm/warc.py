@@ -6,8 +6,8 @@ it; rows that share that page_id are responses each. A response's block (HTTP he
 payload) of more than `SEGMENT_BYTES` goes on in continuation records.
 
 Reading: archives are gzipped files, so each is one stream, cut by Spark at every `WARC/1.`;
-where that string stands inside a block, Content-Length says so and the pieces are joined
-again. Segments are grouped by origin and ordered by number; numbers and total length are
+where that string stands inside a head (a URL, say) or a block, the blank line after the head
+and Content-Length say so and the pieces are joined again. Segments are grouped by origin and ordered by number; numbers and total length are
 verified, then the chunk framing is removed. Records that don't add up keep their row with
 null payload and a text in `problem`.
 
@@ -134,14 +134,16 @@ def _whole_records(frames: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
         for name, piece in zip(frame["file"], frame["piece"], strict=True):
             if name != file:
                 out += [held] if held else []
-                file, held = name, b""
+                file, held, need = name, b"", 0
                 if not piece:  # what stands before the first mark
                     continue
             held = held + _MARK.encode() + piece if held else bytes(piece)
             if not need:
-                head, _, _ = held.partition(b"\r\n\r\n")
+                head, ended, _ = held.partition(b"\r\n\r\n")
+                if not ended:  # the mark stood inside the head
+                    continue
                 length = re.search(rb"(?im)^content-length:\s*(\d+)", head)
-                need = len(head) + 4 + int(length[1]) if length else 1
+                need = len(head) + 4 + (int(length[1]) if length else 0)
             if len(held) >= need:
                 out.append(held)
                 held, need = b"", 0

@@ -208,6 +208,15 @@ def test_archives_round_trip(spark, tmp_path, size):
     )
 
 
+def test_marks_in_urls_do_not_cut_records(spark, tmp_path):
+    urls = ["http://x/WARC/1.1/spec", "http://x/WARC/1.", "WARC/1.WARC/1.0", "http://x/plain"]
+    sizes = [5, 100, 80_000, 7]
+    pages = spark.createDataFrame([(k, u, b"x" * n) for k, (u, n) in enumerate(zip(urls, sizes, strict=True))], "page_id long, url string, payload binary")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["problem"]) for r in got) == [(k, n, None) for k, n in enumerate(sizes)]
+
+
 def test_damaged_segments_are_reported():
     parts = [{"segment": 1, "total": None, "block": b"ab"}, {"segment": 2, "total": 4, "block": b"cd"}]
     assert "missing" in warc.reassemble(parts[1:], None)[2]
