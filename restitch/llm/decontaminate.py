@@ -7,9 +7,10 @@ document where it would lie, by Myers' bit-parallel distance, which decides.
 
 Texts are compared lower-cased, with white space collapsed to one blank. The budget is one
 edit in `EDIT_EVERY` characters, but pieces keep at least `LEAST_PIECE` of them; so short
-items get fewer edits and items below `LEAST_ITEM` characters, empty and null ones among
-them, are not looked for. Null and empty documents hold nothing. Repeated items and rows are
-found one by one.
+items get fewer edits. Items below `LEAST_ITEM` characters get none and must stand as whole words
+(scripts that don't separate words excepted), whatever their length: an item "yes" is found
+in every document with that word. Empty and null items are not looked for. Null and empty
+documents hold nothing. Repeated items and rows are found one by one.
 
 Items are searched in batches of at most `BATCH_CHARS` characters, counted before; each
 batch is one pass over the documents, so memory stays bounded however many items there are.
@@ -17,6 +18,8 @@ batch is one pass over the documents, so memory stays bounded however many items
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -31,6 +34,8 @@ EDIT_EVERY = 12
 LEAST_PIECE = 10
 LEAST_ITEM = 30
 BATCH_CHARS = 4_000_000
+# Thai to Burmese, Khmer, kana and ideographs: their words have no edges that could be seen.
+_UNSEPARATED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal(text: str) -> str:
@@ -38,7 +43,17 @@ def normal(text: str) -> str:
 
 
 def budget(length: int) -> int:
-    return max(0, min(length // EDIT_EVERY, length // LEAST_PIECE - 1))
+    return max(0, min(length // EDIT_EVERY, length // LEAST_PIECE - 1)) if length >= LEAST_ITEM else 0
+
+
+def _of_word(c: str) -> bool:
+    return c.isalnum() or unicodedata.category(c)[0] == "M"
+
+
+def stands_alone(document: str, start: int, stop: int) -> bool:
+    """Whether neither edge of a stretch lies within a word."""
+    edges = [document[at - 1 : at + 1] for at in (start, stop) if 0 < at < len(document)]
+    return not any(_of_word(a) and _of_word(b) and not _UNSEPARATED.search(a + b) for a, b in edges)
 
 
 def pieces(text: str, edits: int) -> list[tuple[int, str]]:
@@ -85,7 +100,7 @@ class Searcher:
         import ahocorasick
 
         self.items = [(item_id, normal(text)) for item_id, text in items]
-        self.items = [(item_id, text) for item_id, text in self.items if len(text) >= LEAST_ITEM]
+        self.items = [(item_id, text) for item_id, text in self.items if text]
         self.edits = [budget(len(text)) for _, text in self.items]
         self.myers: dict[int, Myers] = {}
         at: dict[str, list[tuple[int, int]]] = {}
@@ -103,12 +118,16 @@ class Searcher:
         """`(item, distance)` of the items within their budgets, the best distance of each."""
         if self.empty:
             return []
-        document, windows = normal(text), {}
+        document, windows, alone = normal(text), {}, set()
         for last, (size, places) in self.automaton.iter(document):
             for k, place in places:
                 start = last + 1 - size - place
+                if len(self.items[k][1]) < LEAST_ITEM:
+                    if k not in alone and stands_alone(document, start, last + 1):
+                        alone.add(k)
+                    continue
                 windows.setdefault(k, set()).add(start)
-        found = []
+        found = [(k, 0) for k in alone]
         for k, starts in windows.items():
             length, edits = len(self.items[k][1]), self.edits[k]
             if k not in self.myers:

@@ -377,6 +377,41 @@ def test_edited_items_are_found(spark):
     assert sum(len(b) for b in decontaminate.batches(bench, chars=20)) == 4
 
 
+def test_query_equals_brute_force_for_items_of_all_lengths(spark, tmp_path):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    known = {1: "who?", 2: "Ab", 3: "paris is it", 4: prose(8)[:29].strip(), 5: prose(12), 6: prose(40), 7: "", 8: "北京"}
+    texts = [f"{prose(9)} {known[rng.randint(1, 6)]} {prose(9)}" for _ in range(30)]
+    texts += ["so, WHO?", "whom?", "cab dab", "x (ab)", "abé", "paris is  it.", "paris is its", "我在北京住", None, ""]
+    texts += [f"{prose(3)} {known[6].replace('a', 'x', e)} {prose(3)}" for e in (1, 4, 9, 30)] + [known[5][1:]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items(spark, known.items()).write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def distance(item, text):
+        row = [0] * (len(text) + 1)
+        for p in item:
+            new = [row[0] + 1]
+            for k, c in enumerate(text):
+                new.append(min(row[k] + (p != c), row[k + 1] + 1, new[k] + 1))
+            row = new
+        return min(row)
+
+    want = set()
+    for doc, text in enumerate(texts):
+        text = " ".join((text or "").lower().split())
+        for k, item in known.items():
+            item = " ".join(item.lower().split())
+            if 0 < len(item) < 30:
+                edges = ("", "") if k == 8 else (r"(?<!\w)" if item[0].isalnum() else "", r"(?!\w)" if item[-1].isalnum() else "")
+                if re.search(edges[0] + re.escape(item) + edges[1], text):
+                    want.add((doc, k, 0))
+            elif item and (d := distance(item, text)) <= min(len(item) // 12, len(item) // 10 - 1):
+                want.add((doc, k, d))
+    got = QUERIES["op10_decontamination"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == want and {k for _, k, _ in want} == {1, 2, 3, 4, 5, 6, 8}
+
+
 # ---- all: odd inputs, empty tables, the pipeline
 
 
