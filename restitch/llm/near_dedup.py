@@ -15,7 +15,8 @@ in all, and equal components are an unbiased estimate of the similarity.
 `BANDS` bands of `ROWS` components find a pair of similarity 0.8 but for three in a million.
 Members of a bucket are compared with one leader first. Where buckets connect texts that are then
 still of several classes, these are compared across classes, in blocks, until links make them
-one; so no link that matters is lost and no pairs are written but those that are links. Exact copies are one node; nodes are 128-bit digests.
+one; similarities there are exact, from a table of the shingles of a block, so what is missed is
+what banding misses, and no pairs are written but those that are links. Exact copies are one node; nodes are 128-bit digests.
 
 Null and empty texts have no words and stand alone. Repeated rows are copies of each other.
 """
@@ -38,8 +39,6 @@ SIMILARITY = 0.8
 SIZE = 96
 ROWS = 4
 BANDS = SIZE // ROWS
-# Pairs whose signatures agree in less are not compared across classes: 0.8 less nearly four deviations.
-LEAST_ESTIMATE = 0.65
 # A block of a cluster holds about so many texts, and words, at most.
 BLOCK_TEXTS = 1024
 BLOCK_WORDS = 300_000
@@ -268,10 +267,12 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 def _across(frame: pd.DataFrame) -> pd.DataFrame:
     """Links between different classes in two blocks of a cluster.
 
-    Classes that a link joins count as one from then on, so each link found spares the others
-    between them; pairs that lengths or signatures rule out are not compared.
+    Each text of one block meets all of the other at once, by a table of that one's shingles;
+    classes that a link joins count as one from then on.
     """
     left, right = (frame[frame["side"].isin(s)].sort_values("key").reset_index(drop=True) for s in ((0, 2), (1, 2)))
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []}, dtype=object)
     same_block = bool((frame["side"] == 2).any())
     joined: dict[bytes, bytes] = {}
 
@@ -280,25 +281,29 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
             root = joined[root]
         return root
 
-    multisets = {key: None for key in [*left["key"], *right["key"]]}
-    texts = dict(zip([*left["key"], *right["key"]], [*left["text"], *right["text"]], strict=True))
-
-    def multiset(key: bytes) -> tuple[np.ndarray, np.ndarray]:
-        multisets[key] = multisets[key] or shingles(words_of(texts[key]))
-        return multisets[key]
-
-    sig = np.stack([np.frombuffer(s, "<u4") for s in right["sig"]]) if len(right) else np.zeros((0, SIZE), np.uint32)
-    n, keys, roots = right["n"].to_numpy(float), right["key"].tolist(), right["root"].tolist()
+    multisets = [shingles(words_of(text)) for text in right["text"]]
+    elements, counts = (np.concatenate([m[k] for m in multisets]) for k in (0, 1))
+    owners = np.repeat(np.arange(len(multisets)), [len(m[0]) for m in multisets])
+    order = np.argsort(elements, kind="stable")
+    elements, counts, owners = elements[order], counts[order], owners[order]
+    n, keys, roots = right["n"].to_numpy(np.int64), right["key"].tolist(), right["root"].tolist()
     found = []
-    for place, (key, root, size, own) in enumerate(zip(left["key"], left["root"], left["n"], left["sig"], strict=True)):
+    for place, (key, root, size, text) in enumerate(zip(left["key"], left["root"], left["n"], left["text"], strict=True)):
         fits = np.minimum(n, size) >= SIMILARITY * np.maximum(n, size)
         if same_block:
             fits[: place + 1] = False
-        at = np.flatnonzero(fits)
-        at = at[(sig[at] == np.frombuffer(own, "<u4")).mean(axis=1) >= LEAST_ESTIMATE]
-        for k in at.tolist():
+        one = root_of(root)
+        fits[fits] = [root_of(roots[k]) != one for k in np.flatnonzero(fits)]
+        if not fits.any():
+            continue
+        mine, many = multisets[place] if same_block else shingles(words_of(text))
+        first, stop = np.searchsorted(elements, mine, "left"), np.searchsorted(elements, mine, "right")
+        hits = stop - first
+        at = np.repeat(first - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
+        both = np.bincount(owners[at], np.minimum(counts[at], np.repeat(many, hits)), len(n)).astype(np.int64)
+        for k in np.flatnonzero(fits & (both / (n + size - both) >= SIMILARITY)).tolist():
             one, other = root_of(root), root_of(roots[k])
-            if one != other and similarity(multiset(key), multiset(keys[k])) >= SIMILARITY:
+            if one != other:
                 found.append((max(key, keys[k]), min(key, keys[k])))
                 joined[max(one, other)] = min(one, other)
     return pd.DataFrame(found, columns=["a", "b"])
@@ -309,7 +314,7 @@ def _links_across(docs: DataFrame, pairs: DataFrame, texts: DataFrame, roots: Da
     clusters = components(pairs).withColumnRenamed("root", "cluster")
     ends = clusters.unionByName(clusters.select(F.col("cluster").alias("key"), "cluster").distinct())
     placed = ends.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = placed.join(texts.select("key", "n", "sig", "fingerprint"), "key")
+    placed = placed.join(texts.select("key", "n", "fingerprint"), "key")
     mixed = placed.groupBy("cluster").agg(
         F.count("*").alias("size"), F.sum("n").alias("words"), (F.min("root") != F.max("root")).alias("mixed")
     )
@@ -327,8 +332,8 @@ def _links_across(docs: DataFrame, pairs: DataFrame, texts: DataFrame, roots: Da
             F.when(own == k, 2).when(own < k, 0).otherwise(1).alias("side"),
         ),
     )
-    dealt = there.select("cluster", "key", "root", "n", "sig", "text", F.explode(meets).alias("m"))
-    dealt = dealt.select("cluster", "m.i", "m.j", "m.side", "key", "root", "n", "sig", "text")
+    dealt = there.select("cluster", "key", "root", "n", "text", F.explode(meets).alias("m"))
+    dealt = dealt.select("cluster", "m.i", "m.j", "m.side", "key", "root", "n", "text")
     return checkpoint(dealt.groupBy("cluster", "i", "j").applyInPandas(_across, "a binary, b binary").distinct())
 
 
@@ -364,7 +369,7 @@ def classes_of_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketched = checkpoint(sketched.select("doc_id", "fingerprint", "s.*"))
     rows = sketched.select("doc_id", "key", "fingerprint")
     texts = sketched.where(F.col("key").isNotNull()).groupBy("key")
-    texts = checkpoint(texts.agg(F.min("fingerprint").alias("fingerprint"), *[F.first(c).alias(c) for c in ("n", "sig", "bands")]))
+    texts = checkpoint(texts.agg(F.min("fingerprint").alias("fingerprint"), *[F.first(c).alias(c) for c in ("n", "bands")]))
     banded = texts.select("key", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("size")).where("size > 1")
     members = banded.join(_if_small(checkpoint(shared.select("bucket", "leader"))), "bucket")

@@ -115,6 +115,20 @@ def test_merged_classes_are_components_of_all_links(spark):
     assert sorted((bytes(r["key"]), bytes(r["root"])) for r in got) == sorted((bytes(r["key"]), bytes(r["root"])) for r in want)
 
 
+@pytest.mark.parametrize("sides", [(2, 2, 2), (0, 1, 1), (1, 0, 0)])
+def test_links_across_need_no_equal_signatures(sides):
+    import pandas as pd
+
+    words = [f"w{k}" for k in range(100)]
+    # Shingles repeat; 90 % of one text is in the next, 79 % or less in others.
+    texts = [" ".join(words + words[:40]), " ".join(words + words[:30]), " ".join(words[30:] + [f"x{k}" for k in range(40)])]
+    keys = [b"a", b"b", b"c"]
+    frame = pd.DataFrame({"side": sides, "key": keys, "root": keys, "n": [len(t.split()) - 4 for t in texts], "text": texts})
+    # Signatures that agree nowhere, as chance may have it.
+    frame["sig"] = [np.full(near_dedup.SIZE, k, "<u4").tobytes() for k in range(3)]
+    assert near_dedup._across(frame).values.tolist() == [[b"b", b"a"]]
+
+
 def test_signatures_estimate_the_weighted_similarity():
     rng, errors = np.random.default_rng(3), []
     for _ in range(150):
