@@ -195,7 +195,7 @@ class _Stock:
         if pair := self._pair(gap, used):
             return pair
         ways = self.there[1:gap] & (self.pairs[gap - 1 : 0 : -1] > 0)
-        for a in (np.flatnonzero(ways)[::-1] + 1)[:64]:
+        for a in np.flatnonzero(ways)[::-1] + 1:
             if self._enough([int(a)], used) and (pair := self._pair(gap - int(a), used + Counter([int(a)]))):
                 return [int(a), *pair]
         return None

@@ -313,6 +313,14 @@ def test_plan_uses_every_piece_once_and_fills():
     assert sequences <= 2700
 
 
+def test_triples_are_found_below_many_that_lack_pieces():
+    # 70 odd lengths b no three of which are evenly spaced: 10000 - 2 b needs two pieces of b, there is one.
+    halves = [1 + 2 * int(f"{k:b}", 3) for k in range(70)]
+    lengths = halves + [10_000 - 2 * b for b in halves] + [3400, 3302, 3298]
+    stock = packing._Stock(np.bincount(lengths), 10_000)
+    assert sorted(stock.exact(10_000, Counter())) == [3298, 3302, 3400]
+
+
 def test_packed_documents(spark, documents, texts):
     from public_tokenizers import path
     from tokenizers import Tokenizer
