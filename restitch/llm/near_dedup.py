@@ -404,7 +404,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     chosen = checkpoint(placed.groupBy("root").agg(best).select("best.*"))
 
     def among(df: DataFrame, others: DataFrame, how: str) -> DataFrame:
-        same = (df["fingerprint"] == others["fingerprint"]) & df["doc_id"].eqNullSafe(others["doc_id"])
+        # Both sides come from `docs`, so columns can be told apart by new names only.
+        others = others.select(F.col("doc_id").alias("its_id"), F.col("fingerprint").alias("its_text"))
+        same = (F.col("fingerprint") == F.col("its_text")) & F.col("doc_id").eqNullSafe(F.col("its_id"))
         return df.join(others, same, how)
 
     # Those that go are fewer than those that stay, so while they are few no text is shuffled.
