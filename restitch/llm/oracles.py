@@ -75,4 +75,151 @@ select page_id, payload_bytes, payload_digest,
 from typed
 """
 
-ORACLES = {"op2_chat_format": OP2, "op4_url_filter": OP4, "op5_warc": OP5}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ALNUM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_ALPHA = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11 = f"""
+with doc_terms as (
+  select doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_ALNUM}')) as term from documents
+), item_terms as (
+  select item_id, term, count(*) as times
+  from (select item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_ALNUM}')) as term from benchmark)
+  group by all
+), sizes as (
+  select doc_id, count(*) as n from doc_terms group by doc_id
+), corpus as (
+  select count(*) as docs, sum(n)::bigint as total from sizes
+), tfs as (
+  select doc_id, term, count(*) as tf from doc_terms where term in (select term from item_terms) group by all
+), weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from tfs, corpus group by term, docs
+), parts as (
+  select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))) as part
+  from tfs join weights using (term) join sizes using (doc_id), corpus
+), scores as (
+  select item_id, doc_id, sum(times * part)::bigint as score from parts join item_terms using (term) group by all
+)
+select item_id, rank::integer as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0)
+where rank <= 10
+"""
+
+
+def _crc_of_bit(bit: int) -> int:
+    """What one bit of a byte turns the checksum into; bytes are sums of their bits."""
+    crc = 1 << bit
+    for _ in range(8):
+        crc = crc >> 1 ^ (0xEDB88320 if crc & 1 else 0)
+    return crc
+
+
+def _crc_of_byte(byte: str) -> str:
+    parts = [f"case when ({byte} >> {bit}) & 1 = 1 then {_crc_of_bit(bit)} else 0 end" for bit in range(8)]
+    return f"xor({parts[0]}, {_crc_of_rest(parts[1:])})"
+
+
+def _crc_of_rest(parts: list[str]) -> str:
+    return parts[0] if len(parts) == 1 else f"xor({parts[0]}, {_crc_of_rest(parts[1:])})"
+
+
+def _hilbert(dimensions: int, bits: int) -> str:
+    """A query over `binned (x0, x1, ...)` that adds `curve`, one subquery for each step."""
+    names = [f"x{k}" for k in range(dimensions)]
+    sql = "binned"
+    for bit in range(bits - 1, 0, -1):
+        below = (1 << bit) - 1
+        for k in range(dimensions):
+            is_set = f"(x{k} >> {bit}) & 1 = 1"
+            new = {"x0": f"case when {is_set} then xor(x0, {below}) else xor(x0, xor(x0, x{k}) & {below}) end"}
+            if k:
+                new[f"x{k}"] = f"case when {is_set} then x{k} else xor(x{k}, xor(x0, x{k}) & {below}) end"
+            sql = f"(select * replace ({', '.join(f'{v} as {c}' for c, v in new.items())}) from {sql})"
+    for k in range(1, dimensions):
+        sql = f"(select * replace (xor(x{k}, x{k - 1}) as x{k}) from {sql})"
+    flips = "0"
+    for bit in range(bits - 1, 0, -1):
+        flips = f"xor({flips}, case when (x{dimensions - 1} >> {bit}) & 1 = 1 then {(1 << bit) - 1} else 0 end)"
+    sql = f"(select *, {flips} as flips from {sql})"
+    sql = f"(select * replace ({', '.join(f'xor({c}, flips) as {c}' for c in names)}) from {sql})"
+    woven = [f"(((x{k} >> {bit}) & 1) << {bit * dimensions + dimensions - 1 - k})" for bit in range(bits) for k in range(dimensions)]
+    return f"select * exclude (flips), {' + '.join(woven)} as curve from {sql}"
+
+
+OP12 = f"""
+with bodies as (
+  select doc_id, lang, source, n_chars, encode(coalesce(text, '')) as body from documents
+), sums as (
+  select doc_id, lang, source, n_chars, octet_length(body) + 16 as size,
+    xor(list_reduce(
+      list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(body), '..'), lambda h: ('0x' || h)::bigint)),
+      lambda crc, b: xor(crc >> 8, {_crc_of_byte("(xor(crc, b) & 255)")})
+    ), 4294967295) as text_crc32
+  from bodies
+), binned as (
+  select doc_id, size, text_crc32,
+    {", ".join(
+        f"case when {c} is null then 0 else (rank() over (order by {c} nulls last) - 1) * 32 // count({c}) over () end as x{k}"
+        for k, c in enumerate(("lang", "source", "n_chars"))
+    )}
+  from sums
+), curved as (
+  {_hilbert(3, 5)}
+), placed as (
+  select *, row_number() over (order by curve, text_crc32, doc_id) - 1 as place, count(*) over () as n from curved
+)
+select doc_id, size::bigint as size, text_crc32, 'rows' as law, (place * 40 // n)::integer as shard,
+  place - (place * 40 // n * n + 39) // 40 as slot, null::integer as grown_shard, curve::bigint as curve
+from placed
+"""
+
+OP13 = f"""
+with docs as (
+  select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as text
+  from documents
+), terms as (
+  select doc, lang, source, unnest(regexp_extract_all(text, '{_ALPHA}')) as term from docs
+), kept as (
+  select lang, term, count(*) as lang_n from terms group by all having count(distinct doc) >= 10
+), groups as (
+  select distinct lang, source from docs
+), sizes as (
+  select lang, source, coalesce(v, 0) as v, coalesce(lang_total, 0)::hugeint as lang_total
+  from groups left join (select lang, count(*) as v, sum(lang_n) as lang_total from kept group by lang) using (lang)
+), counts as (
+  select lang, source, term, count(*) as n from terms semi join kept using (lang, term) group by all
+), grid as (
+  select s.lang, s.source, s.v, s.lang_total, k.term, k.lang_n, coalesce(c.n, 0)::hugeint as n,
+    sum(coalesce(c.n, 0)) over (partition by s.lang, s.source)::hugeint as total
+  from sizes s join kept k on k.lang = s.lang left join counts c on c.lang = s.lang and c.source = s.source and c.term = k.term
+), shares as (
+  select *, 1 + 1000000000::hugeint * (n + 2) // (total + 2 * v) as p,
+    1 + 1000000000::hugeint * (lang_n + 2) // (lang_total + 2 * v) as q
+  from grid
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(d.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join (
+    select x.lang, x.source, y.source as other, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as value
+    from shares x join shares y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all
+  ) d on d.lang = a.lang and d.source = a.source and d.other = b.source
+), told as (
+  select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value
+  from shares where n > 0 and p > q
+), both_parts as (
+  select * from pairs union all select * from told
+)
+select lang, source, part, item, value, rank::integer as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from both_parts)
+where part = 'pair' or rank <= 10
+"""
+
+ORACLES = {
+    "op2_chat_format": OP2,
+    "op4_url_filter": OP4,
+    "op5_warc": OP5,
+    "op11_lexical_search": OP11,
+    "op12_hilbert_shards": OP12,
+    "op13_source_audit": OP13,
+}

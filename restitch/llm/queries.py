@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restitch.llm import chat, decontaminate, near_dedup, packing, pii, quality_rules, toxicity, url_filter, warc, weak_quality
+from restitch.llm import (
+    chat,
+    decontaminate,
+    hilbert_shards,
+    lexical_search,
+    near_dedup,
+    packing,
+    pii,
+    quality_rules,
+    source_audit,
+    toxicity,
+    url_filter,
+    warc,
+    weak_quality,
+)
 from restitch.llm.common import checkpoint, scratch, table
 
 # Hosts with these words in their names make up the list of op4.
@@ -80,6 +94,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dimensions = {c: F.col(c) for c in ("lang", "source", "n_chars")}
+    sharded = hilbert_shards.shard_documents(table(spark, sf_dir, "documents"), dimensions)
+    nothing = F.lit(None).cast("int").alias("grown_shard")
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", nothing, "curve")
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_format": op2_chat_format,
@@ -91,4 +120,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_hilbert_shards": op12_hilbert_shards,
+    "op13_source_audit": op13_source_audit,
 }
