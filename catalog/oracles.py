@@ -227,4 +227,39 @@ passes as (
   window statement as (partition by place)
 )
 select distinct script_idx, seq, status = 1 as taken from passes where pass = (select max(pass) from passes)""",
+    # One statement after the other, with all keys taken so far.
+    "resume_chain": """
+with recursive held as (
+  select event_id as seq, ts from events union all select event_id - 1, ts from events where event_id > 0
+), ordered as (
+  select *, row_number() over (order by seq) as step from (select seq, list(ts) as keys from held group by seq)
+), walk as (
+  select 0::bigint as step, null::bigint as seq, null::boolean as taken, []::timestamp[] as gone
+  union all
+  select o.step, o.seq, ok, case when ok then list_concat(w.gone, o.keys) else w.gone end
+  from walk w join ordered o on o.step = w.step + 1,
+    lateral (select len(o.keys) = len(list_distinct(o.keys)) and not list_has_any(w.gone, o.keys) as ok)
+)
+select 0::bigint as script_idx, seq, taken from walk where step > 0""",
+    "resume_unique": """
+with recursive ordered as (
+  select *, row_number() over (order by script_idx, seq) as step
+  from (
+    select o_orderkey // 3000 as script_idx, o_orderkey // 3 as seq, list(o_orderdate) as dates,
+      list(o_custkey || o_orderstatus) as customers
+    from orders group by all
+  )
+), walk as (
+  select 0::bigint as step, null::bigint as script_idx, null::bigint as seq, null::boolean as taken,
+    (select list(o_orderdate) from orders where o_orderkey % 100 = 99) as gone_dates,
+    (select list((o_custkey + 1) || o_orderstatus) from orders where o_orderkey % 100 = 99) as gone_customers
+  union all
+  select o.step, o.script_idx, o.seq, ok,
+    case when ok then list_concat(w.gone_dates, o.dates) else w.gone_dates end,
+    case when ok then list_concat(w.gone_customers, o.customers) else w.gone_customers end
+  from walk w join ordered o on o.step = w.step + 1,
+    lateral (select len(o.dates) = len(list_distinct(o.dates)) and len(o.customers) = len(list_distinct(o.customers))
+      and not list_has_any(w.gone_dates, o.dates) and not list_has_any(w.gone_customers, o.customers) as ok)
+)
+select script_idx, seq, taken from walk where step > 0""",
 }

@@ -183,6 +183,23 @@ def resume_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return take_in_order(claims, ["l_orderkey", "l_linenumber"])
 
 
+def resume_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement per event that inserts its instant and that of the next event: each waits for the one before."""
+    events = samples.read(spark, sf_dir, "events")
+    own = events.select(F.lit(0).cast("long").alias("script_idx"), F.col("event_id").alias("seq"), "ts")
+    following = events.where("event_id > 0").select(F.lit(0).cast("long").alias("script_idx"), (F.col("event_id") - 1).alias("seq"), "ts")
+    return take_in_order(own.unionByName(following), ["ts"])
+
+
+def resume_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three orders a statement, into a table that takes each date once, and each customer once per status."""
+    orders = samples.read(spark, sf_dir, "orders")
+    script = F.expr("o_orderkey div 3000").alias("script_idx")
+    claims = orders.select(script, F.expr("o_orderkey div 3").alias("seq"), "o_orderdate", "o_custkey", "o_orderstatus")
+    there = orders.where("o_orderkey % 100 = 99").select("o_orderdate", (F.col("o_custkey") + 1).alias("o_custkey"), "o_orderstatus")
+    return take_in_order(claims, [["o_orderdate"], ["o_custkey", "o_orderstatus"]], there)
+
+
 QUERIES = {
     "script_lines": script_lines,
     "script_manifest": script_manifest,
@@ -203,4 +220,6 @@ QUERIES = {
     "outcomes_stop": outcomes_stop,
     "failures": failed_statements,
     "resume_statements": resume_statements,
+    "resume_chain": resume_chain,
+    "resume_unique": resume_unique,
 }

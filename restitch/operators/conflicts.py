@@ -1,11 +1,21 @@
 """Which statements a keyed table takes when a dump is run in order.
 
 A statement is taken as a whole if none of its keys is in the table yet, from before
-or from an earlier statement; otherwise it fails as a whole and leaves no key behind.
-
-That is settled in rounds. In each, statements holding a key already in the table fail,
-and those that come first for all of their keys are taken. What is left shrinks to
-chains of statements that wait for each other.
+or from an earlier statement; otherwise it fails as a whole and leaves no key behind. A
+table may have several unique keys; a statement fails if it clashes in any of them. Rows
+with a null in a key don't clash in that key.
+
+Statements and keys get numbers first: a key's number stands for one value of one key, in
+its own type, and statements are numbered in run order. All further work is on these.
+
+Then rounds: statements that come first for all of their keys are taken, others that hold
+a key of a taken one fail. What is left waits for earlier statements. Where a statement
+waits for a single one, it is taken just if that one isn't, so whole chains of these are
+settled at once: each looks up the one it waits for, then the one that waits for, twice as far
+each time (pointer jumping), until the chain's beginning says which of them, in turn,
+are taken. What waits for several at once is split into parts that share no key; parts
+of bounded size are walked in order, many at a time, and larger ones go on in rounds.
+All ways give the same answer, and nothing depends on how many rounds there are.
 """
 
 from __future__ import annotations
@@ -14,7 +24,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from restitch.session import checkpoint
@@ -26,16 +36,13 @@ _STATEMENT = ["script_idx", "seq"]
 HOT_ROWS = 100_000
 HOT_SHARE = 10_000
 
-# Long chains: after this many rounds, a rest of at most REST_ROWS rows is walked in order.
-CHAIN_ROUNDS = 12
-REST_ROWS = 200_000
-
+# Parts of statements that hold at most so many keys in all are walked, each in one task.
+WALK_CLAIMS = 200_000
+# Chains are followed, and parts looked for, after rounds that leave more than this share open.
+SLOW_ROUND = 0.25
 
-def _position() -> Column:
-    return F.struct(*_STATEMENT)
 
-
-def _look_up(rows: DataFrame, facts: DataFrame, on: Sequence[str], n_rows: int) -> DataFrame:
+def _look_up(rows: DataFrame, facts: DataFrame, on: Sequence[str], n_rows: int, how: str = "inner") -> DataFrame:
     """Join facts about single values (`n` rows each) to rows, whatever the share of one value.
 
     Facts of hot values travel to the rows; all others meet their rows in a shuffle.
@@ -43,87 +50,175 @@ def _look_up(rows: DataFrame, facts: DataFrame, on: Sequence[str], n_rows: int)
     on = list(on)
     hot_above = max(HOT_ROWS, n_rows // HOT_SHARE)
     if n_rows <= hot_above:
-        return rows.join(facts.drop("n"), on)
+        return rows.join(facts.drop("n"), on, how)
     hot = F.broadcast(facts.where(F.col("n") > hot_above))
     cold = facts.where(F.col("n") <= hot_above)
-    rare = rows.join(hot.select(*on), on, "left_anti").join(cold.drop("n"), on)
+    rare = rows.join(hot.select(*on), on, "left_anti").join(cold.drop("n"), on, how)
     return rows.join(hot.drop("n"), on).unionByName(rare)
 
 
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    taken: set = set()
+def _numbered_statements(claims: DataFrame) -> DataFrame:
+    """`(script_idx, seq, at, n)`: numbers that grow in run order."""
+    placed = checkpoint(claims.groupBy(*_STATEMENT).agg(F.count("*").alias("n")).orderBy(*_STATEMENT))
+    return placed.withColumn("at", F.monotonically_increasing_id())
+
+
+def _numbered_claims(
+    claims: DataFrame, statements: DataFrame, unique: Sequence[Sequence[str]], present: DataFrame | None, n_rows: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """`(at, key, n)` for each key that a statement holds, `n` times, and the numbers of keys in the table."""
+    placed = _look_up(claims, statements, _STATEMENT, n_rows)
+    held, there = [], []
+    for k, names in enumerate(unique):
+        names = list(names)
+        full = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in names])
+        rows = placed.where(full).select("at", *[F.col(f"`{c}`").alias(f"key_{i}") for i, c in enumerate(names)])
+        columns = [f"key_{i}" for i in range(len(names))]
+        values = checkpoint(rows.groupBy(*columns).agg(F.count("*").alias("n")))
+        values = values.withColumn("key", F.monotonically_increasing_id() * len(unique) + k)
+        held.append(_look_up(rows, values, columns, n_rows).select("at", "key"))
+        if present is not None:
+            old = present.where(full).select(*[F.col(f"`{c}`").alias(f"key_{i}") for i, c in enumerate(names)])
+            there.append(values.join(old.distinct(), columns).select("key"))
+    numbered = reduce(DataFrame.unionByName, held).groupBy("at", "key").agg(F.count("*").alias("n"))
+    return checkpoint(numbered), checkpoint(reduce(DataFrame.unionByName, there)) if there else None
+
+
+def _without(claims: DataFrame, statements: DataFrame) -> DataFrame:
+    return claims.join(statements.select("at"), "at", "left_anti")
+
+
+def _heads(claims: DataFrame, n_rows: int) -> DataFrame:
+    """Claims with the first and second statement that hold their key."""
+    firsts = claims.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    ranked = checkpoint(_look_up(claims, firsts, ["key"], n_rows))
+    later = ranked.where(F.col("at") > F.col("first"))
+    seconds = later.groupBy("key").agg(F.min("at").alias("second"), F.count("*").alias("n"))
+    return _look_up(ranked, seconds, ["key"], n_rows, "left")
+
+
+def _ends_of_chains(links: DataFrame) -> DataFrame:
+    """`(at, up, odd)` for `links (at, up)`: the end of each chain, and whether it is an odd number of links away."""
+    jumps = checkpoint(links.withColumn("odd", F.lit(True)))
+    while True:
+        onward = jumps.select(F.col("at").alias("up"), F.col("up").alias("further"), F.col("odd").alias("too"))
+        moved = checkpoint(
+            jumps.join(onward, "up", "left").select(
+                "at",
+                F.coalesce("further", "up").alias("up"),
+                (F.col("odd") != F.coalesce("too", F.lit(False))).alias("odd"),
+                F.col("further").isNotNull().alias("moved"),
+            )
+        )
+        jumps = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return jumps
+
+
+def _parts(claims: DataFrame, n_rows: int) -> DataFrame:
+    """`(at, part)`: statements connected by keys have one part, the least statement's number.
+
+    Large-star and small-star steps in turn (Kiveris et al. 2014).
+    """
+    firsts = claims.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    edges = _look_up(claims, firsts, ["key"], n_rows).where("at <> first").select(F.col("at").alias("a"), F.col("first").alias("b"))
+    edges, before = checkpoint(edges.distinct()), None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("low"))
+        wide = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        wide = wide.where("a <> b").distinct()
+        low = wide.groupBy("a").agg(F.min("b").alias("low"))
+        others = wide.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        edges = checkpoint(low.select("a", F.col("low").alias("b")).unionByName(others).distinct())
+        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if state == before:
+            break
+        before = state
+    placed = claims.select("at").distinct().join(edges.select(F.col("a").alias("at"), F.col("b").alias("part")), "at", "left")
+    return placed.select("at", F.coalesce("part", "at").alias("part"))
+
+
+def _walk(claims: pd.DataFrame) -> pd.DataFrame:
+    taken: set[int] = set()
     verdicts = []
-    for (script, seq), group in rows.groupby(_STATEMENT, sort=True):
-        claimed = set(group["key"])
-        fails = bool(group["lost"].any()) or not taken.isdisjoint(claimed)
-        if not fails:
-            taken |= claimed
-        verdicts.append((script, seq, not fails))
-    return pd.DataFrame(verdicts, columns=[*_STATEMENT, "taken"])
+    for at, keys in claims.sort_values("at").groupby("at", sort=True)["key"]:
+        held = set(keys.tolist())
+        free = taken.isdisjoint(held)
+        if free:
+            taken |= held
+        verdicts.append((at, free))
+    return pd.DataFrame(verdicts, columns=["at", "taken"])
+
+
+def _settled_by_walking(claims: DataFrame, n_rows: int) -> DataFrame:
+    """Verdicts on the statements of all parts that are small enough for one task."""
+    placed = claims.join(_parts(claims, n_rows), "at")
+    small = placed.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") <= WALK_CLAIMS).select("part")
+    return checkpoint(placed.join(small, "part").groupBy("part").applyInPandas(_walk, "at long, taken boolean"))
+
+
+def _settled_in_round(claims: DataFrame, n_rows: int, chains: bool) -> DataFrame:
+    """Verdicts of one round: those that come first are taken, and with `chains` what waits for one of them in line."""
+    headed = _heads(claims, n_rows)
+    waits_for = F.when(F.col("at") == F.col("second"), F.col("first"))
+    told = checkpoint(
+        headed.groupBy("at").agg(
+            F.min(F.col("first") == F.col("at")).alias("leads"),
+            F.max(F.coalesce(F.col("at") > F.col("second"), F.lit(False))).alias("many"),
+            F.min(waits_for).alias("up"),
+            F.max(waits_for).alias("up_too"),
+        )
+    )
+    leads = told.where("leads").select("at", F.lit(True).alias("taken"))
+    if not chains:
+        return leads
+    ends = _ends_of_chains(told.where("not leads and not many and up = up_too").select("at", "up"))
+    decided = ends.join(leads.select(F.col("at").alias("up")), "up", "left_semi").select("at", (~F.col("odd")).alias("taken"))
+    return checkpoint(leads.unionByName(decided))
 
 
 def take_in_order(
-    claims: DataFrame, keys: Sequence[str], present: DataFrame | None = None, max_rounds: int = 1000
+    claims: DataFrame, keys: Sequence[str] | Sequence[Sequence[str]], present: DataFrame | None = None
 ) -> DataFrame:
     """`(script_idx, seq, taken)` for every statement in `claims` (a row per row to insert).
 
-    Raises if `max_rounds` do not settle it; a partial answer is never returned.
+    `keys` are the columns of the key, or several lists of these. Rows of `present` have the same
+    columns.
     """
-    keys = list(keys)
-    open_claims = checkpoint(
-        claims.groupBy(*_STATEMENT, *keys).agg((F.count("*") > 1).alias("repeated"))
-    )
-    gone = None if present is None else present.select(*keys).distinct()
-    settled: list[DataFrame] = []
-    for round_no in range(max_rounds):
-        n_open = open_claims.count()
-        if n_open == 0:
-            break
-        if round_no >= CHAIN_ROUNDS and n_open <= REST_ROWS:
-            settled.append(_walk_rest(open_claims, keys, gone))
-            break
-        facts = open_claims.groupBy(*keys).agg(F.min(_position()).alias("first"), F.count("*").alias("n"))
-        if gone is None:
-            facts = facts.withColumn("gone", F.lit(False))
-        else:
-            facts = facts.join(gone.withColumn("gone", F.lit(True)), keys, "left").withColumn(
-                "gone", F.coalesce("gone", F.lit(False))
-            )
-        verdicts = checkpoint(
-            _look_up(open_claims, facts, keys, n_open)
-            .groupBy(*_STATEMENT)
-            .agg(
-                F.max(F.col("gone") | F.col("repeated")).alias("fails"),
-                F.min(F.col("first") == _position()).alias("leads"),
-                F.count("*").alias("n"),
-            )
-        )
-        done = verdicts.where(F.col("fails") | F.col("leads"))
-        settled.append(done.select(*_STATEMENT, (~F.col("fails")).alias("taken")))
-        judged = checkpoint(
-            _look_up(open_claims, verdicts, _STATEMENT, n_open)
-            .where(~F.col("fails"))
-            .select(*_STATEMENT, *keys, "repeated", "leads")
-        )
-        gone = judged.where("leads").select(*keys)
-        open_claims = judged.where(~F.col("leads")).drop("leads")
-    else:
-        raise RuntimeError(f"statements still wait for each other after {max_rounds} rounds")
-    if not settled:
-        return open_claims.select(*_STATEMENT, F.lit(True).alias("taken"))
-    return reduce(DataFrame.unionByName, settled)
-
-
-def _walk_rest(open_claims: DataFrame, keys: list[str], gone: DataFrame | None) -> DataFrame:
-    """Settle a small rest in one pass; the caller has checked its size."""
-    lost = F.col("repeated")
+    unique = [list(keys)] if all(isinstance(k, str) for k in keys) else [list(k) for k in keys]
+    names = list(dict.fromkeys(c for k in unique for c in k))
+    # The statement's number has names of its own, so key columns may be called like it.
+    claims = claims.select(*_STATEMENT, *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)])
+    if present is not None:
+        present = present.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)])
+    unique = [[f"own_{names.index(c)}" for c in k] for k in unique]
+
+    statements = _numbered_statements(claims)
+    n_rows = statements.agg(F.sum("n")).first()[0] or 0
+    numbered, gone = _numbered_claims(claims, statements, unique, present, n_rows)
+    failed = numbered.where("n > 1").select("at")
     if gone is not None:
-        open_claims = open_claims.join(gone.withColumn("gone", F.lit(True)), keys, "left")
-        lost = lost | F.coalesce("gone", F.lit(False))
-    return (
-        open_claims.select(
-            *_STATEMENT, F.to_json(F.struct(*keys)).alias("key"), lost.alias("lost"), F.lit(0).alias("rest")
-        )
-        .groupBy("rest")
-        .applyInPandas(_walk, "script_idx long, seq long, taken boolean")
-    )
+        failed = failed.unionByName(numbered.join(gone, "key", "left_semi").select("at"))
+    failed = checkpoint(failed.distinct().withColumn("taken", F.lit(False)))
+    settled = [failed]
+    still = checkpoint(_without(numbered.select("at", "key"), failed))
+    n_open, n_before, walked = still.count(), None, False
+    while n_open:
+        slow = n_before is not None and n_open > SLOW_ROUND * n_before
+        if slow and not walked:
+            # Once: parts that are too large stay so until rounds have taken them apart.
+            done, walked = _settled_by_walking(still, n_open), True
+        else:
+            done, walked = _settled_in_round(still, n_open, chains=slow), False
+        settled.append(done)
+        left = checkpoint(_without(still, done))
+        taken_keys = still.join(done.where("taken").select("at"), "at", "left_semi").select("key").distinct()
+        lost = checkpoint(left.join(taken_keys, "key", "left_semi").select("at").distinct().withColumn("taken", F.lit(False)))
+        settled.append(lost)
+        still = checkpoint(_without(left, lost))
+        n_before, n_open = n_open, still.count()
+    verdicts = reduce(DataFrame.unionByName, settled)
+    # Statements without a key that could clash are in none of these.
+    known = statements.select(*_STATEMENT, "at").join(verdicts, "at", "left")
+    return known.select(*_STATEMENT, F.coalesce("taken", F.lit(True)).alias("taken"))

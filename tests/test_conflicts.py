@@ -44,13 +44,51 @@ def test_hot_keys_and_statements(spark, monkeypatch):
     check(spark, claims, {(7, "a")})
 
 
-def test_chain_is_walked_or_refused(spark, monkeypatch):
-    chain = [(0, q, (q + d, "a")) for q in range(24) for d in (0, 1)]
-    monkeypatch.setattr(conflicts, "CHAIN_ROUNDS", 2)
-    check(spark, chain, {(0, "a")})
-    monkeypatch.setattr(conflicts, "REST_ROWS", 0)
-    with pytest.raises(RuntimeError):
-        check(spark, chain, {(0, "a")}, max_rounds=3)
+@pytest.mark.parametrize("walked", [0, 20, 1000])
+def test_chains_and_parts(spark, monkeypatch, walked):
+    """Walked in one task or followed link by link: the answer is the same."""
+    monkeypatch.setattr(conflicts, "WALK_CLAIMS", walked)
+    monkeypatch.setattr(conflicts, "SLOW_ROUND", 0.0)
+    rng = random.Random(walked)
+    chain = [(0, q, (q + d, "a")) for q in range(70) for d in (0, 1)]
+    # Statements that wait for two and for three earlier ones, and a side chain into the long one.
+    ladder = [(1, q, (q + d, "b")) for q in range(12) for d in (0, 1, 2)]
+    side = [(2, q, (q + d, "c")) for q in range(6) for d in (0, 1)] + [(2, 6, (6, "c")), (2, 6, (35, "a"))]
+    check(spark, chain + ladder + side, {(0, "a")})
+    check(spark, [(s, q, (rng.randrange(60), "x")) for s in range(2) for q in range(50) for _ in "12"], set())
+
+
+def test_rounds_do_not_grow_with_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(conflicts, "WALK_CLAIMS", 0)
+    rounds = []
+    settle = conflicts._settled_in_round
+    monkeypatch.setattr(conflicts, "_settled_in_round", lambda *a, **k: rounds.append(1) or settle(*a, **k))
+    check(spark, [(0, q, (q + d, "a")) for q in range(300) for d in (0, 1)], set())
+    assert len(rounds) <= 3
+
+
+def test_keys_keep_their_types(spark):
+    """Instants 100 microseconds apart are different keys, and equal numbers of other columns are no clash."""
+    df = spark.sql(
+        "select 0L script_idx, id seq, timestamp_micros(1700000000000000 + (id div 2) * 100) at, id % 2 key, id n from range(40)"
+    )
+    assert all(r.taken for r in take_in_order(df, ["at", "key"]).collect())
+    assert [r.taken for r in take_in_order(df, ["at"]).orderBy("seq").collect()] == [q % 2 == 0 for q in range(40)]
+
+
+def test_several_unique_keys(spark):
+    rng = random.Random(3)
+    rows = [(q, rng.randrange(60), rng.choice([None, *range(60)]), rng.randrange(30)) for q in range(60) for _ in range(rng.randrange(1, 3))]
+    old = [(100, 1, 2), (5, None, 7)]
+    taken, want = {("a", 100), ("a", 5), ("b", (1, 2))}, {}
+    for q in range(60):
+        held = [k for s, a, b, c in rows if s == q for k in ([("a", a)] + ([("b", (b, c))] if b is not None else []))]
+        if held:
+            want[q] = len(held) == len(set(held)) and taken.isdisjoint(held)
+            taken |= set(held) if want[q] else set()
+    df = spark.createDataFrame([(0, *r) for r in rows], "script_idx long, seq long, a int, b int, c int")
+    got = take_in_order(df, [["a"], ["b", "c"]], spark.createDataFrame(old, "a int, b int, c int")).collect()
+    assert {r.seq: r.taken for r in got} == want
 
 
 def test_nothing_to_take(spark):
