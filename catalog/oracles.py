@@ -163,6 +163,15 @@ select script_idx, row_number() over (partition by script_idx order by place, pa
 sizes as (select script_idx, sum(octet_length(line::blob) + 1)::bigint as file_bytes from rendered group by script_idx)
 select * from sizes
 union all select (select count(*) from sizes), file_bytes from sizes where script_idx = 0""",
+    "script_long_lines": f"""{_ORDER_LINES},
+written as (
+  select script_idx, 1::bigint as line_no,
+    'INSERT INTO `orders` VALUES ' || string_agg(line[:-2], ',' order by place) || ';' as line
+  from rendered where part = 4 group by script_idx
+  union all select distinct script_idx, 2, '-- rows done,' from rendered
+)
+select script_idx, line_no, length(line) as chars, length(line) <= 65536 as whole, line[:40] as begins, line[-40:] as ends
+from written""",
     "comment_state": f"{_fold()} select script_idx, pos, open_before, open_after from folded",
     "kept_lines": f"{_fold()} select script_idx, pos, text from folded where text <> ''",
     "kept_lines_versioned": f"{_fold(True)} select script_idx, pos, text from folded where text <> ''",
@@ -194,6 +203,7 @@ select script_idx, seq, chars_read, chars_done, file_bytes, script_idx + 1 as fi
 from (select *, sum(chars_read) over (partition by script_idx order by seq)::bigint as chars_done from told)
 join sizes using (script_idx)""",
     "restore_rows": _ORDERS,
+    "restore_long_insert": _ORDERS,
     "restore_overwrite": _ORDERS,
     "outcomes": f"{_ACCOUNTS} select script_idx, seq, status, reason from walk where step > 0",
     "outcomes_stop": f"""{_ACCOUNTS} select script_idx, seq, status, reason from walk

@@ -16,11 +16,15 @@ from restitch import (
     failures,
     insert_rows,
     lines_from_column,
+    lines_of_fragments,
     manifest,
     parse,
+    parse_all,
     prepare_database,
     resolve,
+    rows_of,
     run_scripts,
+    scan_fragments,
     scan_scripts,
     stage,
     statement_progress,
@@ -70,6 +74,13 @@ def script_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, [*paths, paths[0]]).select("script_idx", "file_bytes")
 
 
+def script_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines too long for one task: their size, whether they are kept whole, and how they begin and end."""
+    lines = lines_of_fragments(scan_fragments(spark, samples.write_one_line_scripts(spark, sf_dir)))
+    begins, ends = F.left("line", F.lit(40)).alias("begins"), F.right("line", F.lit(40)).alias("ends")
+    return lines.select("script_idx", F.col("pos").alias("line_no"), "chars", "whole", begins, ends)
+
+
 # ---- lines to statements --------------------------------------------------------
 
 
@@ -140,6 +151,13 @@ def restore_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_orders(insert_rows(statements, "orders", ORDERS))
 
 
+def restore_long_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each script is one INSERT on one line; its rows come from pieces, and no text of it is put together."""
+    fragments = scan_fragments(spark, samples.write_one_line_scripts(spark, sf_dir))
+    parsed = parse_all(Segmentation(lines_of_fragments(fragments)), fragments)
+    return _as_orders(rows_of(parsed, "orders", ORDERS))
+
+
 def restore_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Into a database that holds other rows, which the overwrite removes."""
     database = f"restored_{uuid.uuid4().hex}"
@@ -203,6 +221,7 @@ def resume_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "script_lines": script_lines,
     "script_manifest": script_manifest,
+    "script_long_lines": script_long_lines,
     "comment_state": comment_state,
     "kept_lines": kept_lines,
     "kept_lines_versioned": kept_lines_versioned,
@@ -215,6 +234,7 @@ QUERIES = {
     "statements_documents": statements_documents,
     "statement_progress": progress,
     "restore_rows": restore_rows,
+    "restore_long_insert": restore_long_insert,
     "restore_overwrite": restore_overwrite,
     "outcomes": outcomes,
     "outcomes_stop": outcomes_stop,

@@ -77,19 +77,8 @@ def _render(rows: DataFrame, key: str, unit: int, width: int, head: Column, valu
     return lines_from_rows(numbered, "script", "place", "line", span)
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`orders` as dump scripts, ten rows per statement, with notes and a server comment."""
-    orders = read(spark, sf_dir, "orders")
-    n = orders.count()
-    statement = F.expr("o_orderkey div 10")
-    insert = F.lit("INSERT INTO `orders` VALUES")
-    notes = [
-        F.concat(F.lit("-- chunk "), statement.cast("string"), F.lit(";")),
-        F.lit(""),
-        F.lit("/*!40000 ALTER TABLE `orders` DISABLE KEYS */;"),
-    ]
-    head = F.when(statement % 5 == 0, F.array(*notes, insert)).otherwise(F.array(insert))
-    values = F.concat(
+def _order_values() -> Column:
+    return F.concat(
         F.lit("("),
         F.concat_ws(
             ",",
@@ -102,9 +91,39 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.lit(")"),
     )
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`orders` as dump scripts, ten rows per statement, with notes and a server comment."""
+    orders = read(spark, sf_dir, "orders")
+    n = orders.count()
+    statement = F.expr("o_orderkey div 10")
+    insert = F.lit("INSERT INTO `orders` VALUES")
+    notes = [
+        F.concat(F.lit("-- chunk "), statement.cast("string"), F.lit(";")),
+        F.lit(""),
+        F.lit("/*!40000 ALTER TABLE `orders` DISABLE KEYS */;"),
+    ]
+    head = F.when(statement % 5 == 0, F.array(*notes, insert)).otherwise(F.array(insert))
+    values = _order_values()
     return _render(orders, "o_orderkey", 10, script_width(n, 2000, 10), head, values, 8 * chunk_span(n))
 
 
+def write_one_line_scripts(spark: SparkSession, sf_dir: str) -> list[str]:
+    """`orders` as dumps that write all rows of a script on one line; paths in script order."""
+    orders = read(spark, sf_dir, "orders")
+    width = script_width(orders.count(), 2000, 10)
+    script = F.expr(f"o_orderkey div {width}")
+    ends = orders.groupBy(script.alias("script_idx")).agg(F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+    head = F.when(F.col("o_orderkey") == F.col("first_key"), "INSERT INTO `orders` VALUES ").otherwise("")
+    # The writer ends each row with a comma, the last one too.
+    tail = F.when(F.col("o_orderkey") == F.col("last_key"), ";\n-- rows done").otherwise("")
+    lines = orders.withColumn("script_idx", script).join(ends, "script_idx")
+    lines = lines.select("script_idx", "o_orderkey", F.concat(head, _order_values(), tail).alias("line"))
+    rows = lines.repartition("script_idx").sortWithinPartitions("script_idx", "o_orderkey").select("script_idx", "line")
+    return _written(rows, ",")
+
+
 def account_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`customer` as a damaged dump: clashing keys, wrong values, other statements."""
     customers = read(spark, sf_dir, "customer")
@@ -129,15 +148,14 @@ def account_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_scripts(lines: DataFrame) -> list[str]:
     """Write lines as one text file per script in the shared folder; paths in script order."""
+    ordered = lines.repartition("script_idx").sortWithinPartitions("script_idx", "chunk", "pos")
+    return _written(ordered.select("script_idx", "line"), "\n")
+
+
+def _written(lines: DataFrame, separator: str) -> list[str]:
     spark = lines.sparkSession
     folder = f"{shared_folder(spark)}/scripts-{uuid.uuid4().hex}"
-    (
-        lines.repartition("script_idx")
-        .sortWithinPartitions("script_idx", "chunk", "pos")
-        .select("script_idx", "line")
-        .write.partitionBy("script_idx")
-        .text(folder)
-    )
+    lines.write.partitionBy("script_idx").option("lineSep", separator).text(folder)
     # The list of scripts is driver-side by nature: it is the argument list of a run.
     files = spark.read.format("binaryFile").load(folder).select("path").collect()
     return sorted((row.path for row in files), key=lambda path: int(re.search(r"script_idx=(\d+)", path).group(1)))

@@ -22,10 +22,28 @@ _HEAD = (
     rf"(?siU)\A{_NOTES}INSERT\s++(?:INTO\s++)?+(?:{_NAME}\s*+\.\s*+)?+({_NAME})\s*+"
     rf"({_COLUMNS})?+\s*+VALUES?+\s*+"
 )
-_TUPLES = rf"{_TUPLE}(?:\s*+,\s*+{_TUPLE})*+\s*+"
+_TUPLES = rf"{_NOTES}{_TUPLE}(?:{_NOTES},{_NOTES}{_TUPLE})*+{_NOTES}"
 _COMPLETE = rf"{_HEAD}{_TUPLES};*+\s*+\z"
 _UPSERT = rf"{_HEAD}{_TUPLES}(?:AS\s++|ON\s++DUPLICATE\s++)"
 
+# What stands between pieces: up to one comma before a run of tuples, and one comma or the terminator behind.
+GROUP_OF_TUPLES = rf"(?siU)\A{_NOTES}(,?+){_NOTES}({_TUPLE}(?:{_NOTES},{_NOTES}{_TUPLE})*+)?+{_NOTES}(,?+){_NOTES};*+\s*+\z"
+
+# A piece of a statement by the state it is entered in: what leaves that state, and what in plain text isn't plain.
+# A mark stands for what is taken out, with the opening of what isn't closed.
+_MARK = "\x01"
+_NOT_PLAIN = (
+    r"(?s)'(?:[^'\\]++|\\.|'')*+'|\"(?:[^\"\\]++|\\.|\"\")*+\"|`(?:[^`]++|``)*+`|/\*(?:[^*]++|\*(?!/))*+\*/|(?:--|#)[^\n]*+\n"
+    r"|(')(?:[^'\\]++|\\.|'')*+\z|(\")(?:[^\"\\]++|\\.|\"\")*+\z|(/\*)(?:[^*]++|\*(?!/))*+\z|(--|#)[^\n]*+\z"
+)
+_LEAVES_STATE = [
+    None,
+    r"(?s)\A(?:[^'\\]++|\\.|'')*+'",
+    r"(?s)\A(?:[^\"\\]++|\\.|\"\")*+\"",
+    r"(?s)\A(?:[^*]++|\*(?!/))*+\*/",
+    r"\A[^\n]*+\n",
+]
+
 _LITERAL = rf"(?si)\A\s*+(?:_[a-z0-9]++\s*+)?+({_STRING})\s*+\z"
 _HEX = r"(?i)\A\s*+(?:_[a-z0-9]++\s++)?+(?:0x([0-9a-f]*+)|x'([0-9a-f]*+)')\s*+\z"
 _BITS = r"(?i)\A\s*+b'([01]*+)'\s*+\z"
@@ -72,10 +90,41 @@ def insert_columns(text: Column) -> Column:
     return F.transform(names, lambda name: F.lower(_unquote_name(name)))
 
 
+def insert_head(text: Column) -> Column:
+    """An INSERT up to its first tuple."""
+    return F.regexp_extract(text, _HEAD, 0)
+
+
+def tuples_of(text: Column) -> Column:
+    """The tuples in text that holds nothing but tuples, notes and commas."""
+    plain = F.regexp_replace(text, rf"(?s)({_TUPLE})|/\*(?:[^*]++|\*(?!/))*+\*/|(?:--|#)[^\n]*+\n", "$1")
+    plain = F.when(text.rlike(r"/\*|--|#"), plain).otherwise(text)
+    return F.regexp_extract_all(plain, F.lit(rf"(?s){_TUPLE}"), F.lit(0))
+
+
+def bare_text(piece: Column, state: int) -> Column:
+    """What is plain text in a piece entered in `state`; NULL if the piece doesn't leave that state."""
+    rest = piece
+    if state:
+        rest = F.when(piece.rlike(_LEAVES_STATE[state]), F.regexp_replace(piece, _LEAVES_STATE[state], ""))
+    return F.regexp_replace(rest, _NOT_PLAIN, f"{_MARK}$1$2$3$4")
+
+
+def leaves(bare: Column) -> Column:
+    """The state that a piece is left in, by the end of its bare text."""
+    return (
+        F.when(bare.endswith(f"{_MARK}'"), 1)
+        .when(bare.endswith(f'{_MARK}"'), 2)
+        .when(bare.endswith(f"{_MARK}/*"), 3)
+        .when(bare.endswith(f"{_MARK}--") | bare.endswith(f"{_MARK}#"), 4)
+        .otherwise(0)
+    )
+
+
 def insert_tuples(text: Column) -> Column:
     """The parenthesised tuples of an INSERT, as text."""
     head = F.regexp_extract(text, _HEAD, 0)
-    return F.regexp_extract_all(text.substr(F.length(head) + 1, F.length(text)), F.lit(rf"(?s){_TUPLE}"), F.lit(0))
+    return tuples_of(text.substr(F.length(head) + 1, F.length(text)))
 
 
 def _unescape(literal: Column) -> Column:

@@ -6,7 +6,6 @@ server's own engine; they keep a row in the outcomes, marked as skipped.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from restitch import session
 from restitch.functions.inserts import (
     EXPRESSION,
     insert_columns,
@@ -23,7 +23,6 @@ from restitch.functions.inserts import (
     tuple_values,
     typed,
 )
-from restitch.session import shared_folder
 
 POSITION = ["script_idx", "seq"]
 
@@ -60,10 +59,7 @@ def parse(statements: DataFrame) -> DataFrame:
 
 def stage(parsed: DataFrame) -> DataFrame:
     """Write parsed rows to the shared folder once; outcomes and loads then read columns of it."""
-    spark = parsed.sparkSession
-    path = f"{shared_folder(spark)}/parsed-{uuid.uuid4().hex}"
-    parsed.write.parquet(path)
-    return spark.read.schema(parsed.schema).parquet(path)
+    return session.stage(parsed, "parsed")
 
 
 def _value_of(field: T.StructField, at: int) -> Column:
@@ -113,13 +109,18 @@ def typed_rows(parsed: DataFrame, table: str, target: Target) -> DataFrame:
 
 def insert_rows(statements: DataFrame, table: str, schema: T.StructType) -> DataFrame:
     """All rows the dump holds for one table, whatever else they clash with."""
-    rows = typed_rows(parse(statements), table, Target(schema))
+    return rows_of(parse(statements), table, schema)
+
+
+def rows_of(parsed: DataFrame, table: str, schema: T.StructType) -> DataFrame:
+    """`insert_rows` of statements that are parsed already."""
+    rows = typed_rows(parsed, table, Target(schema))
     return rows.where(F.col("problem").isNull()).select(*(F.col(f"`{f.name}`") for f in schema.fields))
 
 
 def statement_problems(parsed: DataFrame, targets: Mapping[str, Target]) -> DataFrame:
     """One row per statement: status before keys are looked at (`ok`, `failed`, `skipped`)."""
-    heads = parsed.where(F.coalesce("row_no", F.lit(0)) == 0).select(*POSITION, "kind", "table_name")
+    heads = parsed.select(*POSITION, "kind", "table_name")
     known = F.col("table_name").isin(*targets)
     heads = heads.withColumn(
         "problem",

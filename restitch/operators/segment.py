@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from restitch.functions.text import (
@@ -44,6 +44,9 @@ _CHUNK = ["script_idx", "chunk"]
 # every executor; it is counted first, and joined by shuffle beyond this.
 BROADCAST_CHUNKS = 500_000
 
+# Longer statements are not put together in one place. Far below what one value may hold.
+MAX_STATEMENT_CHARS = 1 << 24
+
 _BEFORE_ALL_LINES = -(1 << 63)
 
 
@@ -89,12 +92,20 @@ def _comment_scan(rows: DataFrame, swaps: Column, settles: Column, settled: str,
 
 
 def classify(lines: DataFrame, keep_versioned: bool) -> DataFrame:
-    """Everything about a line that does not depend on other lines."""
+    """Everything about a line that does not depend on other lines.
+
+    Lines may bring their number of characters in `chars`, and in `whole` whether `line` is all of
+    the line or a stand-in that does what the line does.
+    """
     line = F.col("line")
+    chars = F.col("chars") if "chars" in lines.columns else utf16_length(line)
+    whole = F.col("whole") if "whole" in lines.columns else F.lit(True)
     text, opens = outside_comment(line, F.col("rest"), keep_versioned)
     return (
         lines.select(
             *(*_CHUNK, "pos", "line"),
+            chars.alias("chars"),
+            whole.alias("whole"),
             has_close(line).alias("closes"),
             after_comment(line, keep_versioned).alias("rest"),
         )
@@ -103,7 +114,6 @@ def classify(lines: DataFrame, keep_versioned: bool) -> DataFrame:
         .withColumn("step", block_step(F.col("text")))
         .withColumn("token", directive_token(F.col("text")))
         .withColumn("terminator", ends_with_terminator(F.col("text")))
-        .withColumn("chars", utf16_length(F.col("line")))
         # Lines that may change the state carried along; all others only read it.
         .withColumn(
             "changes",
@@ -119,13 +129,13 @@ class Segmentation:
     positions. The narrow line marks and two tables with a row per chunk are
     checkpointed when first needed.
 
-    A statement longer than `max_statement_chars` that runs over several chunks keeps
-    its row, with NULL text and `too_long` set; its lines stay whole in
-    `statement_lines()`. The default is far above what a server accepts as one packet.
+    A statement that reads more than `max_statement_chars` keeps its row, with NULL text and
+    `too_long` set, however its lines lie in chunks; so does one with a line that is not whole. Lines stay in
+    `statement_lines()`, and the rows of such an INSERT come from its pieces (`long_inserts`).
     """
 
     def __init__(
-        self, lines: DataFrame, keep_versioned: bool = False, max_statement_chars: int = 1 << 28
+        self, lines: DataFrame, keep_versioned: bool = False, max_statement_chars: int = MAX_STATEMENT_CHARS
     ) -> None:
         self.lines = lines
         self.keep_versioned = keep_versioned
@@ -151,6 +161,7 @@ class Segmentation:
             (F.col("text") != "").alias("has_text"),
             "changes",
             "chars",
+            "whole",
         )
         placed = narrow.repartition(self._partitions, *_CHUNK).sortWithinPartitions(*_CHUNK, "pos")
         return checkpoint_partitioned(placed)
@@ -371,7 +382,7 @@ class Segmentation:
         )
 
     def _carry_marks(self, starts: DataFrame, extra: list[str]) -> DataFrame:
-        rows = self.marks.select(*_CHUNK, "pos", "terminator", "has_text", "changes", "chars")
+        rows = self.marks.select(*_CHUNK, "pos", "terminator", "has_text", "changes", "chars", "whole")
         starts = starts.withColumn("ready", self._ready())
         placed = starts.repartition(self._partitions, *_CHUNK)
         return self._carry(rows, self._change_states, placed, "chunk", extra)
@@ -396,6 +407,7 @@ class Segmentation:
             .groupBy(*_CHUNK, "ends_so_far")
             .agg(
                 F.sum("chars").alias("chars"),
+                F.coalesce(F.min(F.when(F.col("kept"), F.col("whole"))), F.lit(True)).alias("whole"),
                 F.sum(F.col("kept").cast("long")).alias("kept"),
                 F.max("ends").alias("ends"),
                 F.max("pos").alias("pos"),
@@ -410,6 +422,8 @@ class Segmentation:
                 F.sum(F.col("ends").cast("long")).alias("n_ends"),
                 F.sum("chars").alias("chars"),
                 F.sum("kept").alias("kept"),
+                F.max("chars").alias("longest"),
+                F.min("whole").alias("whole"),
                 F.min_by(piece, "ends_so_far").alias("head"),
                 F.max_by(piece, "ends_so_far").alias("tail"),
             )
@@ -441,18 +455,29 @@ class Segmentation:
             chunks.select(
                 *(*_CHUNK, "entry_open", "entry_depth", "entry_delimiter", "n_ends", "head", "moved", "home"),
                 *("ends_before", "chars_before"),
-                *("statement_done", "statement_chars", "statement_kept", "too_long"),
+                *("statement_done", "statement_chars", "statement_kept", "too_long", "longest", "whole"),
             )
         )
 
     @cached_property
     def _moves(self) -> tuple[int, int]:
         """How many chunks give lines away, and how many of these to a too long statement."""
-        row = self.chunks.agg(
+        row = self._sizes
+        return row["moved"], row["too_long"]
+
+    @cached_property
+    def _sizes(self) -> Row:
+        longest = F.greatest("longest", F.coalesce("statement_chars", F.lit(0)))
+        return self.chunks.agg(
             F.count(F.when(F.col("moved"), 1)).alias("moved"),
             F.count(F.when(F.col("too_long"), 1)).alias("too_long"),
+            F.max((longest > self.max_statement_chars) | ~F.col("whole")).alias("any_long"),
         ).first()
-        return row["moved"], row["too_long"]
+
+    @property
+    def any_long(self) -> bool:
+        """Whether there may be statements that `statements()` gives without text."""
+        return bool(self._sizes["any_long"])
 
     def _chunk_starts(self) -> DataFrame:
         """Start markers of whole chunks, with the script's counters before them."""
@@ -506,15 +531,20 @@ class Segmentation:
                 F.max("ends").alias("terminated"),
                 F.sum("chars").alias("chars_read"),
                 F.max("chars_done").alias("chars_done"),
+                F.coalesce(F.min(F.when(F.col("kept"), F.col("whole"))), F.lit(True)).alias("whole"),
             )
             .where("kept_lines > 0")
         )
 
+    def long_statements(self) -> DataFrame:
+        """Statements that `statements()` gives without text."""
+        return self.bounds().where((F.col("chars_read") > self.max_statement_chars) | ~F.col("whole"))
+
     # ---- text pass -----------------------------------------------------------------
 
     def _classified_text(self) -> DataFrame:
         return classify(self.lines, self.keep_versioned).select(
-            *_CHUNK, "pos", "text", "terminator", "changes", "chars", (F.col("text") != "").alias("has_text")
+            *_CHUNK, "pos", "text", "terminator", "changes", "chars", "whole", (F.col("text") != "").alias("has_text")
         )
 
     def _to_home(self, rows: DataFrame) -> DataFrame:
@@ -564,7 +594,7 @@ class Segmentation:
         return (
             self._carry(self._classified_text(), self._change_states, starts, "chunk", [])
             .where("kept")
-            .select("script_idx", (F.col("ends_so_far") + 1).alias("seq"), "chunk", "pos", "text")
+            .select("script_idx", (F.col("ends_so_far") + 1).alias("seq"), "chunk", "pos", "text", "whole")
         )
 
     def statements(self) -> DataFrame:
@@ -580,18 +610,26 @@ class Segmentation:
             "home",
             [],
         )
+        # Within a home a statement may still be long: then its lines are not joined.
+        same = Window.partitionBy("script_idx", "home", "ends_so_far")
+        sized, fits = numbered, F.lit(True)
+        if self.any_long:
+            kept_whole = F.min(F.when(F.col("kept"), F.col("whole"))).over(same)
+            sized = sized.withColumn("read", F.sum("chars").over(same)).withColumn("all_whole", kept_whole)
+            fits = (F.col("read") <= self.max_statement_chars) & F.coalesce("all_whole", F.lit(True))
         joined = (
-            numbered.withColumn("text", F.when(F.col("kept"), F.col("text")))
+            sized.withColumn("text", F.when(F.col("kept") & fits, F.col("text")))
             .groupBy("script_idx", "home", (F.col("ends_so_far") + 1).alias("seq"))
             .agg(
                 F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY chunk, pos)").alias("text"),
                 F.max("ends").alias("terminated"),
                 F.sum("chars").alias("chars_read"),
                 F.max("chars_done").alias("chars_done"),
+                F.max(~fits).alias("too_long"),
+                F.max("kept").alias("kept"),
             )
-            .where(F.col("text").isNotNull())
-            .withColumn("too_long", F.lit(False))
-            .drop("home")
+            .where("kept")
+            .drop("home", "kept")
         )
         if not self._moves[1]:
             return joined

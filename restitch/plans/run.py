@@ -8,10 +8,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from restitch.operators import outcomes as _outcomes
+from restitch.operators.long_inserts import parse_all
 from restitch.operators.progress import statement_progress
-from restitch.operators.restore import Target, parse, stage
-from restitch.operators.segment import Segmentation
+from restitch.operators.restore import Target, stage
+from restitch.operators.segment import MAX_STATEMENT_CHARS, Segmentation
 from restitch.session import checkpoint
+from restitch.sources.pieces import lines_of_fragments, scan_fragments
 from restitch.sources.scripts import manifest, scan_scripts
 from restitch.sources.tables import append_rows, existing_rows, prepare_database
 
@@ -35,17 +37,23 @@ def run_scripts(
     if_exists: str = "keep",
     stop_on_error: bool = False,
     keep_versioned: bool = False,
-    max_statement_chars: int = 1 << 28,
+    long_lines: bool = False,
+    max_statement_chars: int = MAX_STATEMENT_CHARS,
 ) -> Run:
     """Restore script files, in list order, into the tables of a database.
 
     Rows already in a table count as there before the run, so a run that broke off is
     finished by running it again: what is there already fails on its key and is passed over.
+
+    With `long_lines` scripts are read in pieces, so that a line may be of any length; they are staged
+    once more for that.
     """
     scripts = manifest(spark, paths)
-    segmentation = Segmentation(scan_scripts(spark, paths), keep_versioned, max_statement_chars)
+    fragments = scan_fragments(spark, paths) if long_lines else None
+    lines = lines_of_fragments(fragments) if long_lines else scan_scripts(spark, paths)
+    segmentation = Segmentation(lines, keep_versioned, max_statement_chars)
     statements = segmentation.statements()
-    parsed = stage(parse(statements))
+    parsed = stage(parse_all(segmentation, fragments, statements))
 
     prepare_database(spark, database, if_exists)
     targets = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +57,10 @@ def pin_file_splits(spark: SparkSession) -> None:
     key = "spark.sql.files.minPartitionNum"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write rows to the shared folder once; what follows reads the columns it needs."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,23 +9,24 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from restitch.session import pin_file_splits
 
-_ANY_BREAK = r"\r\n|\n|\r"
+ANY_BREAK = r"\r\n|\n|\r"
 
-# The list of scripts is sent to every executor; longer lists are to be run in parts.
-MAX_SCRIPTS = 500_000
+# The list of scripts is sent to every executor in parts of so many; each part is a scan of its own.
+LIST_PART = 500_000
 
 
 def _file_key(name: Column) -> Column:
     return F.regexp_replace(name, "^file:/+", "file:/")
 
 
-def _read_key() -> Column:
+def read_key() -> Column:
     """Key of the file a row was read from; its metadata give the name as an escaped URI."""
     escaped = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     return _file_key(F.url_decode(escaped))
@@ -52,27 +53,26 @@ def _resolved(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
     return {path: _resolve(spark, path) for path in dict.fromkeys(paths)}
 
 
-def _to_read(known: dict[str, str]) -> list[str]:
+def to_read(known: dict[str, str]) -> list[str]:
     """Each file once, however often and in whatever spelling it is listed."""
     return [_as_pattern(uri) for uri in dict.fromkeys(known.values())]
 
 
-def _script_list(spark: SparkSession, paths: Sequence[str], known: dict[str, str]) -> DataFrame:
-    rows = [(idx, path, known[path]) for idx, path in enumerate(paths)]
-    if len(rows) > MAX_SCRIPTS:
-        raise ValueError(f"{len(rows)} scripts in one run; at most {MAX_SCRIPTS} are allowed")
+def script_list(spark: SparkSession, paths: Sequence[str], first: int = 0) -> tuple[DataFrame, dict[str, str]]:
+    """`(script_idx, script_path, file_key)` in run order, counted from `first`, and the qualified name of each path."""
+    known = _resolved(spark, paths)
+    rows = [(idx, path, known[path]) for idx, path in enumerate(paths, first)]
     listed = spark.createDataFrame(rows, "script_idx long, script_path string, uri string")
-    return listed.withColumn("file_key", _file_key(F.col("uri"))).drop("uri")
+    return listed.withColumn("file_key", _file_key(F.col("uri"))).drop("uri"), known
 
 
 def manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The scripts in run order with their sizes; a path listed twice runs twice."""
-    known = _resolved(spark, paths)
-    listed = _script_list(spark, paths, known)
+    listed, known = script_list(spark, paths)
     sizes = (
         spark.read.format("binaryFile")
-        .load(_to_read(known))
-        .select(_read_key().alias("file_key"), F.col("length").alias("file_bytes"))
+        .load(to_read(known))
+        .select(read_key().alias("file_key"), F.col("length").alias("file_bytes"))
     )
     unread = F.raise_error(F.concat(F.lit("script file not read: "), "script_path")).cast("long")
     size = F.coalesce("file_bytes", unread).alias("file_bytes")
@@ -85,11 +85,17 @@ def scan_scripts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     Each distinct file is read once; the list (driver-side by nature) is joined on.
     Bytes that are not UTF-8 become replacement characters.
     """
-    known = _resolved(spark, paths)
-    listed = _script_list(spark, paths, known)
     pin_file_splits(spark)
-    scanned = spark.read.text(_to_read(known)).select(
-        _read_key().alias("file_key"),
+    parts = [_scan_part(spark, paths[at : at + LIST_PART], at) for at in range(0, len(paths), LIST_PART)]
+    return reduce(DataFrame.unionByName, parts) if parts else _scan_part(spark, [], 0)
+
+
+def _scan_part(spark: SparkSession, paths: Sequence[str], first: int) -> DataFrame:
+    listed, known = script_list(spark, paths, first)
+    if not paths:
+        return listed.select("script_idx", *[F.lit(0).cast("long").alias(c) for c in ("chunk", "pos")], F.col("script_path").alias("line"))
+    scanned = spark.read.text(to_read(known)).select(
+        read_key().alias("file_key"),
         F.col("_metadata.file_block_start").alias("chunk"),
         F.monotonically_increasing_id().alias("pos"),
         F.make_valid_utf8("value").alias("line"),
@@ -101,7 +107,7 @@ def scan_scripts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def lines_from_column(df: DataFrame, script_id: str, text: str) -> DataFrame:
     """Treat every row as one script held in a text column."""
-    parts = F.split(F.col(text), _ANY_BREAK)
+    parts = F.split(F.col(text), ANY_BREAK)
     # A final line break ends the last line; it does not start another one.
     lines = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     return df.select(
