@@ -70,7 +70,8 @@ def unescape_role(role: str) -> str:
     return _ROLE_ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-SEGMENTS = "conv_id long, turn_no long, part int, text string, loss boolean, in_order boolean"
+# Ids pass through Python as text: pandas would turn a column with a null into floats.
+SEGMENTS = "conv_id string, turn_no long, part int, text string, loss boolean, in_order boolean"
 
 
 def format_turns(frames: Iterator[pd.DataFrame], template: Template = CHATML) -> Iterator[pd.DataFrame]:
@@ -79,7 +80,6 @@ def format_turns(frames: Iterator[pd.DataFrame], template: Template = CHATML) ->
     for frame in frames:
         out = []
         for conv_id, role, text in zip(frame["conv_id"], frame["role"], frame["text"], strict=True):
-            conv_id = None if pd.isna(conv_id) else int(conv_id)
             if conv_id != conv:
                 conv, state, turn_no, good = conv_id, START, 0, True
             good = good and role in template.follows.get(state, ())
@@ -91,7 +91,7 @@ def format_turns(frames: Iterator[pd.DataFrame], template: Template = CHATML) ->
                 (conv_id, turn_no, 2, template.closing, False, good),
             ]
             turn_no += 1
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENTS.split(", ")]).astype({"conv_id": "Int64"})
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
 
 
 def segments(conversations: DataFrame, template: Template = CHATML) -> DataFrame:
@@ -102,11 +102,12 @@ def segments(conversations: DataFrame, template: Template = CHATML) -> DataFrame
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")],
     )
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInPandas(lambda it: format_turns(it, template), SEGMENTS)
+    named = ordered.select(F.col("conv_id").cast("string").alias("conv_id"), "role", "text")
+    return named.mapInPandas(lambda it: format_turns(it, template), SEGMENTS).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 READ = (
-    "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+    "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
     "formatted_chars long, in_order boolean"
 )
 
@@ -114,7 +115,7 @@ READ = (
 class _Reader:
     """Reads one conversation's formatted text piece by piece and keeps digests only."""
 
-    def __init__(self, conv_id: int | None, template: Template):
+    def __init__(self, conv_id: str | None, template: Template):
         self.conv_id, self.template = conv_id, template
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
@@ -155,12 +156,11 @@ class _Reader:
 
 def read_segments(frames: Iterator[pd.DataFrame], template: Template = CHATML) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in READ.split(", ")]
-    frame_of = lambda rows: pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+    frame_of = lambda rows: pd.DataFrame(rows, columns=names)
     reader = None
     for frame in frames:
         out = []
         for conv_id, text, loss, good in zip(*(frame[c] for c in ("conv_id", "text", "loss", "in_order")), strict=True):
-            conv_id = None if pd.isna(conv_id) else int(conv_id)
             if reader is None or reader.conv_id != conv_id:
                 out += [reader.row()] if reader else []
                 reader = _Reader(conv_id, template)
@@ -176,5 +176,5 @@ def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
 
     `formatted` is the output of `segments`, whose order it relies on.
     """
-    columns = formatted.select("conv_id", "text", "loss", "in_order")
-    return columns.mapInPandas(lambda it: read_segments(it, template), READ)
+    columns = formatted.select(F.col("conv_id").cast("string").alias("conv_id"), "text", "loss", "in_order")
+    return columns.mapInPandas(lambda it: read_segments(it, template), READ).withColumn("conv_id", F.col("conv_id").cast("long"))

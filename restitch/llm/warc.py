@@ -67,7 +67,7 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + named.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def records(page_id: int | None, row: int, url: str | None, payload: bytes, holder: int | None) -> Iterator[bytes]:
+def records(page_id: int | str | None, row: int, url: str | None, payload: bytes, holder: int | str | None) -> Iterator[bytes]:
     """The records of one page; `holder` is the page that it revisits."""
     name = "null" if page_id is None else page_id
     rid = f"<urn:page:{name}:{row}>"
@@ -93,10 +93,8 @@ def _encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
         for page_id, row, url, payload, holder in frame.itertuples(index=False):
-            page = None if pd.isna(page_id) else int(page_id)
-            revisits = None if pd.isna(holder) else int(holder)
             # The writer ends each row with a line feed, the last byte of a record.
-            out += [r[:-1] for r in records(page, row, url, bytes(payload), revisits)]
+            out += [r[:-1] for r in records(page_id, row, url, bytes(payload), holder)]
         yield pd.DataFrame({"record": out})
 
 
@@ -109,11 +107,12 @@ def write_archives(pages: DataFrame, path: str) -> None:
     ).withColumn("digest", F.when(F.octet_length("payload") >= MIN_SHARED, F.sha1("payload")))
     shared = rows.where(F.col("digest").isNotNull()).groupBy("digest")
     holders = shared.agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder")).alias("holder")
+    revisits = F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder"))
     row = F.monotonically_increasing_id().alias("row")
     encoded = (
         rows.join(holders, "digest", "left")
-        .select("page_id", row, "url", "payload", revisits)
+        # Ids pass through Python as text: pandas would turn a column with a null into floats.
+        .select(F.col("page_id").cast("string"), row, "url", "payload", revisits.cast("string"))
         .mapInPandas(_encode, "record binary")
         .select(F.col("record").cast("string").alias("value"))
     )
@@ -121,7 +120,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 
 PARSED = (
-    "origin string, page_id long, record_type string, refers_to long, segment int, total long, "
+    "origin string, page_id string, record_type string, refers_to string, segment int, total long, "
     "payload_bytes long, payload_digest string, block binary, problem string"
 )
 
@@ -152,9 +151,9 @@ def _whole_records(frames: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
         yield [held]
 
 
-def _page(urn: str | None) -> int | None:
+def _page(urn: str | None) -> str | None:
     found = re.match(r"<urn:page:(-?\d+)", urn or "")
-    return int(found[1]) if found else None
+    return found[1] if found else None
 
 
 def parse_record(raw: bytes) -> tuple:
@@ -197,7 +196,7 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in PARSED.split(", ")]
     for raws in _whole_records(frames):
         frame = pd.DataFrame([parse_record(raw) for raw in raws], columns=names)
-        whole = {c: "Int64" for c in ("page_id", "refers_to", "total", "payload_bytes")} | {"segment": "Int32"}
+        whole = {c: "Int64" for c in ("total", "payload_bytes")} | {"segment": "Int32"}
         yield frame.astype(whole)
 
 
@@ -221,7 +220,7 @@ def _join_segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
         ]
         size, digest, problem = zip(*rows, strict=True) if rows else ((), (), ())
-        out = frame[["page_id", "record_type", "refers_to"]].astype({"page_id": "Int64", "refers_to": "Int64"})
+        out = frame[["page_id", "record_type", "refers_to"]]
         sizes = pd.array([None if pd.isna(s) else int(s) for s in size], dtype="Int64")
         yield out.assign(payload_bytes=sizes, payload_digest=list(digest), problem=list(problem))
 
@@ -243,9 +242,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.collect_list(part).alias("parts"),
     )
     columns = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "problem", "parts"]
-    schema = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, problem string"
+    schema = "page_id string, record_type string, refers_to string, payload_bytes long, payload_digest string, problem string"
     read = grouped.select(*columns).mapInPandas(_join_segments, schema)
-    return read
+    return read.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def resolve_revisits(read: DataFrame) -> DataFrame:
