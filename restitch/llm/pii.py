@@ -65,57 +65,58 @@ def _nothing(kind: str = _SPANS) -> Column:
     return F.array().cast(kind)
 
 
-def spans_of(text: Column, pattern: Column) -> Column:
-    """`(start, stop, value)` of all matches, in order.
+def _each_before(values: Column, levels: int = 2) -> Column:
+    """For each of some whole numbers the sum of those before it.
 
-    Places are summed up within blocks of matches and then over blocks, so that texts with
-    very many matches stay cheap.
+    A running array is copied at each step, so it is kept for a block at a time: sums within
+    blocks, then, by the same way, those of the blocks.
     """
+
+    def running(part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).alias("sum"), _nothing("array<int>").alias("all")),
+            lambda done, v: F.struct((done["sum"] + v).alias("sum"), F.array_append(done["all"], done["sum"]).alias("all")),
+            lambda done: done["all"],
+        )
+
+    def by_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda x, y: x + y))
+        shifted = F.zip_with(
+            F.transform(blocks, running), _each_before(sums, levels - 1), lambda part, first: F.transform(part, lambda v: v + first)
+        )
+        return F.flatten(shifted)
+
+    def cut(whole_array: Column) -> Column:
+        last = F.floor((F.size(whole_array) - 1) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(whole_array, k * _BLOCK + 1, F.lit(_BLOCK)))
+
+    if not levels:
+        return running(values)
+    return _once(values, lambda v: F.when(F.size(v) > _BLOCK, _once(cut(v), by_blocks)).otherwise(running(v)))
+
+
+def spans_of(text: Column, pattern: Column) -> Column:
+    """`(start, stop, value)` of all matches, in order; time grows in proportion to the text and its matches."""
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
 
     def located(pairs: Column) -> Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _BLOCK).cast("int")),
-            lambda k: F.aggregate(
-                F.slice(pairs, k * _BLOCK + 1, F.lit(_BLOCK)),
-                F.struct(F.lit(0).alias("at"), _nothing().alias("found")),
-                lambda done, p: F.struct(
-                    (done["at"] + p["gap"] + F.length(p["value"])).alias("at"),
-                    F.array_append(
-                        done["found"],
-                        F.struct(
-                            (done["at"] + p["gap"]).alias("start"),
-                            (done["at"] + p["gap"] + F.length(p["value"])).alias("stop"),
-                            p["value"].alias("value"),
-                        ),
-                    ).alias("found"),
-                ),
-            ),
-        )
-        return F.aggregate(
-            blocks,
-            F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("all")),
-            lambda done, b: F.struct(
-                (done["at"] + b["at"]).alias("at"),
-                F.array_append(
-                    done["all"],
-                    F.transform(
-                        b["found"],
-                        lambda s: F.struct(
-                            (s["start"] + done["at"]).alias("start"), (s["stop"] + done["at"]).alias("stop"), s["value"].alias("value")
-                        ),
-                    ),
-                ).alias("all"),
+        before = _each_before(F.transform(pairs, lambda p: p["gap"] + F.length(p["value"])))
+        return F.zip_with(
+            pairs,
+            before,
+            lambda p, b: F.struct(
+                (b + p["gap"]).alias("start"), (b + p["gap"] + F.length(p["value"])).alias("stop"), p["value"].alias("value")
             ),
-            lambda done: F.flatten(done["all"]),
         )
 
-    # One more gap than matches; the last is not needed.
-    pairs = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("value"))
-    )
-    return F.when(F.size(matches) > 0, located(pairs)).otherwise(_nothing())
+    def paired(found: Column) -> Column:
+        # One more gap than matches; the last is not needed.
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
+        return F.when(F.size(found) > 0, _once(pairs, located)).otherwise(_nothing())
+
+    return _once(matches, paired)
 
 
 def _digits(value: Column) -> Column:
@@ -155,7 +156,8 @@ def base_spans(text: Column) -> Column:
         spans = F.filter(spans_of(text, F.lit(pattern)), partial(_passes, kind))
         hint = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind])
         found.append(F.when(hint, spans).otherwise(_nothing()).alias(kind))
-    return F.struct(*found)
+    # Worked out once, however many of its fields are used.
+    return _once(F.struct(*found), lambda spans: spans)
 
 
 def listed(spans: dict[str, Column]) -> Column:
