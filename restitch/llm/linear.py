@@ -7,19 +7,29 @@ proximal gradient steps (L1) on a bounded sample, and score texts where they are
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 
+from restitch.llm.common import of_worker
+
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
 CACHE_WORDS = 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 
+def ids_of_word(word: str) -> set[int]:
+    starts = {word[:n] + "-" for n in PREFIXES if n < len(word)}
+    mask = (1 << BITS) - 1
+    return {zlib.crc32(part.encode("utf-8", "surrogatepass")) & mask for part in (word, *starts)}
+
+
 class Hasher:
     """Features of texts, with the words of this worker cached."""
 
@@ -27,10 +37,7 @@ class Hasher:
         self.known: dict[str, bytes] = {}
 
     def of_word(self, word: str) -> bytes:
-        starts = {word[:n] + "-" for n in PREFIXES if n < len(word)}
-        mask = (1 << BITS) - 1
-        ids = {zlib.crc32(part.encode("utf-8", "surrogatepass")) & mask for part in (word, *starts)}
-        return np.array(sorted(ids), dtype=np.int32).tobytes()
+        return np.array(sorted(ids_of_word(word)), dtype=np.int32).tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
         words = set(_WORD.findall(text.lower()))
@@ -42,11 +49,8 @@ class Hasher:
         return np.unique(np.frombuffer(b"".join([known[w] for w in words]), dtype=np.int32))
 
 
-_OF_WORKER = Hasher()
-
-
 def features(text: str) -> np.ndarray:
-    return _OF_WORKER(text)
+    return of_worker("word features", Hasher)(text)
 
 
 @dataclass
@@ -90,6 +94,40 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
+class Scorer:
+    """Scores texts by a model without dense inputs; of a word only the features that have a weight are kept."""
+
+    def __init__(self, model: Model) -> None:
+        self.weights = dict(zip(model.ids.tolist(), model.weights.tolist(), strict=True))
+        self.bias = model.bias
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        for word in words:
+            ids = self.older.get(word)
+            if ids is None:
+                ids = tuple(self.weights.keys() & ids_of_word(word))
+            self.recent[word] = ids
+
+    def score(self, text: str, more: set[int]) -> float:
+        """Probability for the words of a text and `more` features."""
+        words = set(_WORD.findall(text.lower()))
+        if len(self.recent) > CACHE_WORDS:
+            # Words of the older generation that are met again come back without being hashed.
+            self.older, self.recent = self.recent, {}
+        self._learn(words.difference(self.recent))
+        ids = set(chain.from_iterable(map(self.recent.__getitem__, words)))
+        ids |= self.weights.keys() & more
+        total = self.bias + sum(map(self.weights.__getitem__, sorted(ids)))
+        return 1 / (1 + math.exp(-min(max(total, -30), 30)))
+
+
+def scorer_of_worker(name: str, model: Model) -> Scorer:
+    """One for each Python worker, so that its words serve all tasks; only that of the last model is kept."""
+    return of_worker(name, lambda: Scorer(model))
+
+
 def fit(
     x: Rows,
     dense: np.ndarray,

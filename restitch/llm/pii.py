@@ -4,15 +4,19 @@ Built-in expressions only. The base finds e-mail addresses, IP addresses, card a
 numbers. For each pattern a text falls into the matches and the gaps between them; sums of
 their lengths are the spans, in code points, end exclusive.
 
-Beyond the base, information-theoretic sanitisation (Sanchez and Batet): an entity is one
-value of the base, a term a word of letters outside the base's spans, anywhere in a document
+Beyond the base, information-theoretic sanitisation (Sanchez and Batet): protected are the
+values of the base and secrets, machine-made runs of letters and digits whose information alone
+gives them away. An entity is one value, or what many values share: the domain of addresses, the
+beginning of IP addresses, cards and phone numbers, and for secrets, of which no two are alike, that
+there is one. A term is a word of letters outside the spans, anywhere in a document
 that holds the entity. With n documents, n_e of them holding the entity, n_t the term and n_et
 both,
 
     information of the entity   IC  = log2(n / n_e)
     what the term gives away    PMI = log2(n * n_et / (n_e * n_t))
 
-A term that gives away `GENERALISE` of an entity's information is replaced by the kind of
+What more than an eighth of all documents hold (an address in every footer, say) tells nobody apart and is
+no entity. A term that gives away `GENERALISE` of an entity's information is replaced by the kind of
 entity it points to, from `REMOVE` on it is removed, wherever it occurs. All counts are over
 all documents.
 
@@ -20,9 +24,9 @@ However rare, a pair counts if chance doesn't explain it: Hoeffding's bound for
 often in independent documents, times the number of different terms, must be at most `CHANCE`,
 so that for each entity a wrong term is that unlikely. Near-copies of one text are one
 witness: documents of an entity that share any of `SKETCH` least hashes of their runs of
-`RUN` words. A single meeting has chance n_t / n, so entities of one document pass only where
+`RUN` words. A single meeting has chance n_t / n, so a value of one document has terms of its own only where
 a table has far fewer terms than documents; elsewhere all words of a document that occur once
-meet its entities just as often as chance has it.
+meet it just as often as chance has it, and what counts is the value's domain or beginning.
 
 Null and empty texts have no spans. Repeated rows get equal results and count as documents of
 their own. A match that fails its check (parts, digits, Luhn) is dropped and not tried again.
@@ -51,9 +55,13 @@ KINDS = ["email", "ip", "card", "phone"]
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][ -][0-9]", "phone": r"\+[0-9]"}
 
 TERM = r"\p{L}{3,}"
+# Runs of 32 and more letters and digits, four of each at least.
+SECRET = r"(?<![A-Za-z0-9_])(?=(?:[A-Za-z_]*+[0-9]){4})(?=(?:[0-9_]*+[A-Za-z]){4})[A-Za-z0-9_]{32,}+"
 GENERALISE = 0.8
 REMOVE = 0.95
 CHANCE = 0.05
+# Bits of an entity that is worth protecting: it may be in an eighth of the documents at most.
+LEAST_INFORMATION = 3.0
 SKETCH = 8
 RUN = 8
 BROADCAST_TERMS = 200_000
@@ -176,18 +184,38 @@ def written(ordered: Column) -> Column:
     )
 
 
+def secret_spans(text: Column) -> Column:
+    return F.when(text.rlike("[A-Za-z0-9_]{32}"), spans_of(text, F.lit(SECRET))).otherwise(_nothing())
+
+
 def with_base(docs: DataFrame) -> DataFrame:
-    """`row`, `text` (null as empty) and `base`, the spans by kind."""
-    return docs.select(whole(), text_of("text").alias("text")).withColumn("base", base_spans(F.col("text")))
+    """`row`, `text` (null as empty), `base`, the spans by kind, and `secrets`."""
+    text = F.col("text")
+    found = docs.select(whole(), text_of("text").alias("text"))
+    return found.withColumns({"base": base_spans(text), "secrets": _once(secret_spans(text), lambda s: s)})
+
+
+def _shared(kind: str, value: Column) -> Column:
+    """What an entity has in common with others: domain, network, issuer, area."""
+    if kind == "email":
+        return F.concat(F.lit("@"), F.substring_index(value, "@", -1))
+    if kind == "ip":
+        return F.concat(F.substring_index(value, ".", 2), F.lit(".*"))
+    return F.concat(F.left(_digits(value), F.lit(6 if kind == "card" else 4)), F.lit("*"))
 
 
 def _entities() -> Column:
-    """The different entities of a row of `with_base`, as kind and value."""
+    """The different entities of a row of `with_base`, as kind and value, or kind and what values share."""
 
     def named(kind: str, s: Column) -> Column:
         return F.concat(F.lit(f"{kind}:"), F.lower(s["value"]))
 
-    return F.array_distinct(F.concat(*[F.transform(F.col(f"base.{kind}"), partial(named, kind)) for kind in KINDS]))
+    def pooled(kind: str, s: Column) -> Column:
+        return F.concat(F.lit(f"{kind}:"), _shared(kind, F.lower(s["value"])))
+
+    found = [F.transform(F.col(f"base.{kind}"), partial(f, kind)) for kind in KINDS for f in (named, pooled)]
+    secret = F.when(F.size("secrets") > 0, F.array(F.lit("secret:any"))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*found, secret))
 
 
 def _sketch(text: Column) -> Column:
@@ -226,13 +254,15 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("doc"), "entities", _sketch(F.col("text")).alias("sketch"), _terms(bare).alias("terms")
     )
     holding = checkpoint(holding)
+    if holding.isEmpty():
+        return docs.sparkSession.createDataFrame([], "term string, kind string, disclosure double")
     n = docs.count()
     words = docs.select(F.explode(_terms(text_of("text"))).alias("term"))
     n_terms = words.agg(F.approx_count_distinct("term", 0.01)).first()[0]
     least = log(max(n_terms, 1) / CHANCE)
     entities = holding.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     # The most that an entity's documents can prove: a term in each of its witnesses and nowhere else.
-    entities = checkpoint(entities.where((_information(n) > 0) & (F.col("n_e") * _information(n) * log(2) >= least)))
+    entities = checkpoint(entities.where((_information(n) >= LEAST_INFORMATION) & (F.col("n_e") * _information(n) * log(2) >= least)))
     witnesses = checkpoint(_witnesses(holding, entities))
     proven = witnesses.groupBy("entity").agg(F.count_distinct("witness").alias("most"))
     entities = entities.join(proven, "entity").where(F.col("most") * _information(n) * log(2) >= least).select("entity", "n_e")
@@ -320,13 +350,14 @@ def found_spans(docs: DataFrame) -> DataFrame:
 
 
 def replaced(text: Column, base: str, terms: str | None, by: str | None = None) -> Column:
-    """Text with each span replaced, those of the base by their kind or `by`; of spans that overlap, the first stands for all."""
+    """Text with each span replaced, those of the base and secrets by their kind or `by`; of spans that overlap, the first stands for all."""
 
     def named(kind: str, s: Column) -> Column:
         value = f"[{kind.upper()}]" if by is None else by
         return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(value).alias("value"))
 
     parts = [F.transform(F.col(f"{base}.{kind}"), partial(named, kind)) for kind in KINDS]
+    parts.append(F.transform(F.col("secrets"), partial(named, "secret")))
     spans = F.array_sort(F.concat(*parts, _nothing() if terms is None else F.col(terms)))
     pieces = F.aggregate(
         spans,
@@ -360,12 +391,15 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def spans_report(docs: DataFrame) -> DataFrame:
-    """`row`, counts by kind, a digest of the base spans, and all spans as text."""
+    """`row`, counts by kind, a digest of the base spans, all spans as text, and whether there are any."""
     found = found_spans(docs)
     base = {k: F.col(f"base.{k}") for k in KINDS}
     return found.select(
         "row",
         *[F.size(c).cast("long").alias(f"n_{k}") for k, c in base.items()],
         F.sha2(written(listed(base)), 256).alias("base_sha256"),
-        written(listed(base | {"term": F.col("terms")})).alias("spans"),
+        written(listed(base | {"secret": F.col("secrets"), "term": F.col("terms")})).alias("spans"),
+        F.size("secrets").cast("long").alias("n_secret"),
+        F.size("terms").cast("long").alias("n_term"),
+        (sum((F.size(c) for c in base.values()), F.size("secrets") + F.size("terms")) > 0).alias("is_private"),
     )

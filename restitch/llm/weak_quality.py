@@ -14,9 +14,11 @@ rows get equal results; copies in the training sample count once. An empty table
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable
+from math import log2
 
 import numpy as np
 import pandas as pd
@@ -105,12 +107,16 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     return good, says
 
 
-def _features(text: str, m: dict[str, float]) -> np.ndarray:
-    """Hashed words and, as further features, which tenth or power of two each measure lies in."""
-    bins = [f"#{k}:{int(np.log2(v + 1)) if k in ('words', 'lines', 'word_length') else int(v * 10)}" for k, v in m.items()]
+def _bins(m: dict[str, float]) -> set[int]:
+    """Features that say which tenth or power of two each measure lies in."""
+    bins = [f"#{k}:{int(log2(v + 1)) if k in ('words', 'lines', 'word_length') else int(v * 10)}" for k, v in m.items()]
     mask = (1 << linear.BITS) - 1
-    own = np.array([zlib.crc32(b.encode()) & mask for b in bins], np.int32)
-    return np.unique(np.concatenate([linear.features(text), own]))
+    return {zlib.crc32(b.encode()) & mask for b in bins}
+
+
+def _features(text: str, m: dict[str, float]) -> np.ndarray:
+    """Hashed words and bins."""
+    return np.unique(np.concatenate([linear.features(text), np.array(sorted(_bins(m)), np.int32)]))
 
 
 def vote_patterns(docs: DataFrame) -> DataFrame:
@@ -153,11 +159,12 @@ def train_scorer(docs: DataFrame, posterior: dict[int, float], most: int = MOST_
 
 
 def score_column(model: linear.Model, text: Column) -> Column:
+    name = uuid.uuid4().hex
+
     def scored(texts: pd.Series) -> pd.DataFrame:
-        found = [(m := measures(t), _features(t, m)) for t in texts]
-        rows = linear.Rows.of(ids for _, ids in found)
-        p = model.predict(rows, np.zeros((rows.n, 0)))
-        return pd.DataFrame({"pattern": [pattern_of(m) for m, _ in found], "score": p})
+        scorer = linear.scorer_of_worker(name, model)
+        found = [(pattern_of(m := measures(t)), scorer.score(t, _bins(m))) for t in texts]
+        return pd.DataFrame(found, columns=["pattern", "score"])
 
     return F.pandas_udf(scored, "pattern int, score double")(text)
 

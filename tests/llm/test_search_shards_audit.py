@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from restitch.llm import chat, hilbert_shards, lexical_search, packing, source_audit, warc
+from restitch.llm import chat, hilbert_shards, lexical_search, linear, packing, pii, source_audit, warc
 from restitch.llm.oracles import ORACLES
 from restitch.llm.queries import QUERIES
 from tests.check_queries import compare
@@ -233,3 +233,45 @@ def test_ids_pass_unharmed(spark, tmp_path):
     assert set(got) == {2**53, 2**53 + 1, None, 2**63 - 1}
     assert (got[2**53].refers_to, got[2**53].payload_bytes, got[2**53].problem) == (2**53 + 1, 1500, None)
     assert got[2**53 + 1].refers_to is None and got[2**63 - 1].payload_bytes == 100_000
+
+
+# ---- scoring by weighted words only
+
+
+def test_scorer_equals_the_model():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Wort", "wortreich", "wortreicher", "x", "Éclair", "1234567890", "a_b"]) + rng.choice(["", "s"]) for _ in range(40)) for _ in range(30)]
+    rows = linear.Rows.of([linear.features(t) for t in texts])
+    ids = np.unique(rows.ids)[::2].astype(np.int64)
+    model = linear.Model(ids, np.random.default_rng(1).normal(size=len(ids)), np.zeros(0), -0.3)
+    scorer = linear.Scorer(model)
+    for _ in range(2):
+        assert np.allclose([scorer.score(t, set()) for t in texts], model.predict(rows, np.zeros((len(texts), 0))), atol=1e-12)
+
+
+# ---- personal data beyond the base
+
+
+def test_secrets_and_terms_that_point_to_them(spark):
+    rng = random.Random(5)
+    token = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    prose = lambda n: " ".join("".join(rng.choice("aeioumnr") for _ in range(5)) for _ in range(n))
+    rows = [(k, f"{prose(30)} zutoken = '{t}' {prose(30)}") for k in range(30) for t in [token()]]
+    rows += [(k, prose(60)) for k in range(100, 700)] + [(800, "a" * 40 + " " + "1" * 40 + " " + token()[:31]), (801, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r["term"], r["kind"]) for r in pii.disclosing_terms(docs).collect()] == [("zutoken", "secret")]
+    found = {r["row"]["doc_id"]: r for r in pii.spans_report(docs).collect()}
+    for doc_id, text in rows:
+        want = [f"secret:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{40}", text or "") if doc_id < 100]
+        want += [f"term:{m.start()}:{m.end()}" for m in re.finditer("zutoken", text or "")]
+        assert sorted(found[doc_id]["spans"].split(",")) == sorted(want or [""])
+        assert (found[doc_id]["n_secret"], found[doc_id]["is_private"]) == (int(doc_id < 100), doc_id < 100)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all("zutoken" not in clean[k] and "[SECRET]" in clean[k] for k in range(30)) and clean[100] == rows[30][1]
+
+
+def test_places_of_matches_at_block_borders(spark):
+    for n in (0, 1, 63, 64, 65, 4095, 4097, 20_000):
+        text = "é" + "".join(f" {'x' * (k % 3)}7" for k in range(n))
+        rows = spark.createDataFrame([(text,)], "text string").select(pii.spans_of(F.col("text"), F.lit("x*7")).alias("s")).first()["s"]
+        assert [(r["start"], r["stop"]) for r in rows] == [m.span() for m in re.finditer("x*7", text)]
