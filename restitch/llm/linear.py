@@ -100,14 +100,28 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.weights = dict(zip(model.ids.tolist(), model.weights.tolist(), strict=True))
         self.bias = model.bias
+        self.starts: dict[str, int] = {}
         self.recent: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def _learn(self, words: set[str]) -> None:
+        """Put words into the recent generation; beginnings are few and have a table of their own."""
+        weights, starts, mask = self.weights, self.starts, (1 << BITS) - 1
+        if len(starts) > 2 * CACHE_WORDS:
+            starts.clear()
         for word in words:
             ids = self.older.get(word)
             if ids is None:
-                ids = tuple(self.weights.keys() & ids_of_word(word))
+                found = [zlib.crc32(word.encode("utf-8", "surrogatepass")) & mask]
+                for n in PREFIXES:
+                    if n >= len(word):
+                        break
+                    start = word[:n]
+                    at = starts.get(start)
+                    if at is None:
+                        at = starts[start] = zlib.crc32((start + "-").encode("utf-8", "surrogatepass")) & mask
+                    found.append(at)
+                ids = tuple(at for at in found if at in weights)
             self.recent[word] = ids
 
     def score(self, text: str, more: set[int]) -> float:
