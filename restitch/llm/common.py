@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,25 @@ from restitch.session import checkpoint, shared_folder
 _BUCKETS = 1 << 24
 
 
+_HELD: dict[str, Any] = {}
+
+
+def of_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks under `name`, made when it is first asked for.
+
+    Workers live on from stage to stage, so only the last name's is kept: the caches of operators that
+    run one after the other don't add up.
+    """
+    if name not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            # Give freed memory back to the system, where the C library can.
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,4 +66,4 @@ def bounded_sample(df: DataFrame, most: int, *key: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(_BUCKETS)) < keep)
 
 
-__all__ = ["bounded_sample", "checkpoint", "scratch", "table", "text_of", "whole"]
+__all__ = ["bounded_sample", "checkpoint", "of_worker", "scratch", "table", "text_of", "whole"]

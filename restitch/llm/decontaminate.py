@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restitch.llm.common import text_of, whole
+from restitch.llm.common import of_worker, text_of, whole
 
 EDIT_EVERY = 12
 LEAST_PIECE = 10
@@ -155,15 +155,9 @@ def _merged(starts: list[int], length: int, edits: int) -> Iterator[tuple[int, i
         yield low, high
 
 
-_OF_WORKER: dict[str, Searcher] = {}
-
-
 def _searcher(name: str, items: list[tuple[int, str]]) -> Searcher:
     """One for each Python worker and batch of items; only the last is kept."""
-    if name not in _OF_WORKER:
-        _OF_WORKER.clear()
-        _OF_WORKER[name] = Searcher(items)
-    return _OF_WORKER[name]
+    return of_worker(name, lambda: Searcher(items))
 
 
 def batches(benchmark: DataFrame, chars: int = BATCH_CHARS) -> Iterator[list[tuple[int, str]]]:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from restitch.llm.common import text_of
+from restitch.llm.common import of_worker, text_of
 
 TOP = 10
 BATCH_BYTES = 4_000_000
@@ -111,15 +111,9 @@ def automaton_of(terms: list[bytes]):
     return automaton
 
 
-_OF_WORKER: dict[str, object] = {}
-
-
 def _automaton(name: str, terms: list[bytes]):
     """One for each Python worker and batch of items; only the last is kept."""
-    if name not in _OF_WORKER:
-        _OF_WORKER.clear()
-        _OF_WORKER[name] = automaton_of(terms)
-    return _OF_WORKER[name]
+    return of_worker(name, lambda: automaton_of(terms))
 
 
 def found_terms(automaton, text: bytes | None) -> tuple[int, np.ndarray, np.ndarray]:

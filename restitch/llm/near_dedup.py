@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from restitch.llm.common import checkpoint, text_of, whole
+from restitch.llm.common import checkpoint, of_worker, text_of, whole
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -62,17 +62,15 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-_HASHES: dict[bytes, int] = {}
-
-
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_HASHES) > CACHE_WORDS:
-        _HASHES.clear()
-    found = list(map(_HASHES.get, words))
+    hashes: dict[bytes, int] = of_worker("near_dedup", dict)
+    if len(hashes) > CACHE_WORDS:
+        hashes.clear()
+    found = list(map(hashes.get, words))
     if None in found:
         for word in {w for w, known in zip(words, found, strict=True) if known is None}:
-            _HASHES[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        found = list(map(_HASHES.__getitem__, words))
+            hashes[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        found = list(map(hashes.__getitem__, words))
     return np.array(found, np.uint64)
 
 

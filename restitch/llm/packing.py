@@ -23,10 +23,11 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from restitch.llm.common import checkpoint, text_of
+from restitch.llm.common import checkpoint, of_worker, text_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -110,14 +111,9 @@ class WordTokens:
         return b"".join(ids)
 
 
-_OF_WORKER: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
     """One for each Python worker, so that its cache serves all of the worker's tasks."""
-    if path not in _OF_WORKER:
-        _OF_WORKER[path] = WordTokens(path)
-    return _OF_WORKER[path]
+    return of_worker(f"tokens of {path}", lambda: WordTokens(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -141,11 +137,12 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 for piece, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
                     part = ids[at : at + 4 * CAPACITY]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, part))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
-    return texts.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids binary")
+    # Ids pass through Python as text: pandas would turn a column with a null into floats.
+    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_of("text").alias("text"))
+    cuts = texts.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids binary")
+    return cuts.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class _Stock:
@@ -271,22 +268,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # Also bounded by the capacity, not by the corpus.
     shared = pieces.sparkSession.sparkContext.broadcast((slots, first_rank))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, first_rank = shared.value
         for frame in frames:
-            sequence, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
-            lengths = frame["length"].to_numpy(np.int64)
-            base = np.array([first_rank[key] for key in zip(lengths.tolist(), frame["_salt"].tolist(), strict=True)], np.int64)
-            rank = base + frame["_rank"].to_numpy(np.int64)
+            sequence, offset = np.zeros(frame.num_rows, np.int64), np.zeros(frame.num_rows, np.int64)
+            lengths, salts, ranks = (frame.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_salt", "_rank"))
+            base = np.array([first_rank[key] for key in zip(lengths.tolist(), salts.tolist(), strict=True)], np.int64)
+            rank = base + ranks
             for n in np.unique(lengths):
                 at = np.flatnonzero(lengths == n)
                 slot = slots[int(n)][np.searchsorted(slots[int(n)][:, 0], rank[at], side="right") - 1]
                 copy, place = np.divmod(rank[at] - slot[:, 0], slot[:, 1])
                 sequence[at] = slot[:, 2] + copy
                 offset[at] = slot[:, 3] + place * n
-            yield frame[own].assign(sequence_id=sequence, offset=offset)
+            columns = [*(frame.column(c) for c in own), pa.array(sequence), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(columns, [*own, "sequence_id", "offset"])
 
-    return ranked.mapInPandas(place, schema)
+    return ranked.mapInArrow(place, schema)
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:

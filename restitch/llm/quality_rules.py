@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from restitch.llm.common import bounded_sample, checkpoint, text_of, whole
+from restitch.llm.common import bounded_sample, checkpoint, of_worker, text_of, whole
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -92,6 +92,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
 
 
 def _statistics_of(texts: pd.Series) -> pd.DataFrame:
+    of_worker("statistics", dict)  # nothing is kept, but what others kept goes
     names = [part.split()[0] for part in STATS.split(", ")]
     return pd.DataFrame([statistics(t) for t in texts], columns=names, dtype="int64")
 
