@@ -156,6 +156,22 @@ walk as (
 )
 """
 
+# Rows of one key in run order, those in the table before the run first.
+_MEETING = """
+with sized as (select greatest(300, (count(*) // 10000 // 3 + 1) * 3) as width from customer),
+met as (
+  select (c_custkey % 400)::integer as id, c_name as name, round(c_acctbal * 100)::bigint as cents,
+    c_custkey // width as script_idx, c_custkey as place
+  from customer, sized
+  union all select (n_nationkey + 350)::integer, n_name, 7, -1, 0 from nation
+),
+ordered as (
+  select *, row_number() over (partition by id order by script_idx, place) as nth,
+    row_number() over (partition by id order by script_idx desc, place desc) as from_end
+  from met
+)
+"""
+
 ORACLES = {
     "script_lines": f"""{_ORDER_LINES}
 select script_idx, row_number() over (partition by script_idx order by place, part) as line_no, line from rendered""",
@@ -205,6 +221,10 @@ join sizes using (script_idx)""",
     "restore_rows": _ORDERS,
     "restore_long_insert": _ORDERS,
     "restore_overwrite": _ORDERS,
+    "restore_ignore": f"{_MEETING} select id, name, cents from ordered where nth = 1",
+    "restore_replace": f"{_MEETING} select id, name, cents from ordered where from_end = 1",
+    "restore_upsert": f"""{_MEETING}
+select id, max(name) filter (from_end = 1) as name, sum(cents)::bigint as cents from ordered group by id""",
     "outcomes": f"{_ACCOUNTS} select script_idx, seq, status, reason from walk where step > 0",
     "outcomes_stop": f"""{_ACCOUNTS} select script_idx, seq, status, reason from walk
 where step > 0 and step <= (select coalesce(min(step), (select max(step) from walk)) from walk where status = 'failed')""",

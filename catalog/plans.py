@@ -26,8 +26,10 @@ from restitch import (
     run_scripts,
     scan_fragments,
     scan_scripts,
+    settle,
     stage,
     statement_progress,
+    table_after,
     take_in_order,
 )
 from restitch.sources.scripts import number_lines
@@ -172,6 +174,28 @@ def restore_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_orders(spark.table(table_name(database, "orders")))
 
 
+def _after_clashes(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """The table after a dump of clashing rows; 25 of the keys are in it already."""
+    there = samples.read(spark, sf_dir, "nation").select(
+        (F.col("n_nationkey") + 350).cast("int").alias("id"), F.col("n_name").alias("name"), F.lit(7).cast("long").alias("cents")
+    )
+    parsed = stage(parse(Segmentation(samples.clashing_lines(spark, sf_dir, mode)).statements()))
+    target = Target(ACCOUNTS, ["id"], there)
+    return table_after(parsed, settle(parsed, {"accounts": target}), "accounts", target)
+
+
+def restore_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _after_clashes(spark, sf_dir, "ignore")
+
+
+def restore_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _after_clashes(spark, sf_dir, "replace")
+
+
+def restore_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _after_clashes(spark, sf_dir, "update")
+
+
 def _accounts(spark: SparkSession, sf_dir: str, stop_on_error: bool = False) -> tuple[DataFrame, DataFrame]:
     """Statements and outcomes of the damaged dump; 25 keys are in the table already."""
     there = samples.read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 350).cast("int").alias("id"))
@@ -236,6 +260,9 @@ QUERIES = {
     "restore_rows": restore_rows,
     "restore_long_insert": restore_long_insert,
     "restore_overwrite": restore_overwrite,
+    "restore_ignore": restore_ignore,
+    "restore_replace": restore_replace,
+    "restore_upsert": restore_upsert,
     "outcomes": outcomes,
     "outcomes_stop": outcomes_stop,
     "failures": failed_statements,

@@ -57,11 +57,11 @@ def _literal(text: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
 
 
-def _render(rows: DataFrame, key: str, unit: int, width: int, head: Column, values: Column, span: int) -> DataFrame:
-    """Statements of `unit` keys each: the lines in `head` (an array), then a line per row."""
+def _render(rows: DataFrame, key: str, unit: int, width: int, head: Column, values: Column, span: int, close: str = ";") -> DataFrame:
+    """Statements of `unit` keys each: the lines in `head` (an array), then a line per row, the last with `close`."""
     statement = F.expr(f"{key} div {unit}")
     ends = rows.groupBy(statement.alias("statement")).agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"))
-    tail = F.when(F.col(key) == F.col("last_key"), ";").otherwise(",")
+    tail = F.when(F.col(key) == F.col("last_key"), close).otherwise(",")
     own = F.array(F.concat(values, tail))
     lines = F.when(F.col(key) == F.col("first_key"), F.concat(head, own)).otherwise(own)
     numbered = (
@@ -146,6 +146,26 @@ def account_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _render(customers, "c_custkey", 3, script_width(n, 300, 3), head, values, 8 * chunk_span(n))
 
 
+# How statements of `clashing_lines` begin and end.
+CLASHING = {
+    "ignore": ("INSERT IGNORE INTO `accounts` VALUES", ";"),
+    "replace": ("REPLACE INTO `accounts` VALUES", ";"),
+    "update": ("INSERT INTO `accounts` VALUES", " ON DUPLICATE KEY UPDATE name = VALUES(name), `cents` = cents + VALUES(cents);"),
+}
+
+
+def clashing_lines(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """`customer` in statements of three rows with 400 different keys, so that most rows meet another."""
+    customers = read(spark, sf_dir, "customer")
+    n = customers.count()
+    begin, close = CLASHING[mode]
+    key = (F.col("c_custkey") % 400).cast("string")
+    cents = F.round(F.col("c_acctbal") * 100).cast("long").cast("string")
+    values = F.concat(F.lit("("), F.concat_ws(",", key, _literal(F.col("c_name")), cents), F.lit(")"))
+    head = F.array(F.lit(begin))
+    return _render(customers, "c_custkey", 3, script_width(n, 300, 3), head, values, 8 * chunk_span(n), close)
+
+
 def write_scripts(lines: DataFrame) -> list[str]:
     """Write lines as one text file per script in the shared folder; paths in script order."""
     ordered = lines.repartition("script_idx").sortWithinPartitions("script_idx", "chunk", "pos")

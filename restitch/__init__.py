@@ -2,7 +2,7 @@
 
 from restitch.operators.conflicts import take_in_order
 from restitch.operators.long_inserts import parse_all
-from restitch.operators.outcomes import applied_rows, failures, resolve, until_first_failure
+from restitch.operators.outcomes import Settled, applied_rows, failures, resolve, settle, table_after, until_first_failure
 from restitch.operators.progress import statement_progress
 from restitch.operators.restore import Target, insert_rows, parse, rows_of, stage
 from restitch.operators.segment import Segmentation
@@ -14,6 +14,7 @@ from restitch.sources.tables import append_rows, prepare_database
 __all__ = [
     "Run",
     "Segmentation",
+    "Settled",
     "Target",
     "append_rows",
     "applied_rows",
@@ -31,8 +32,10 @@ __all__ = [
     "run_scripts",
     "scan_fragments",
     "scan_scripts",
+    "settle",
     "stage",
     "statement_progress",
+    "table_after",
     "take_in_order",
     "until_first_failure",
 ]

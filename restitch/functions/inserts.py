@@ -19,12 +19,18 @@ _CALL = rf"""\((?:{_STRING}|[^()'"]++)*+\)"""
 _TUPLE = rf"""\((?:{_STRING}|[^()'"]++|{_CALL})*+\)"""
 _VALUE = rf"""(?:{_STRING}|[^(),'"]++|{_CALL})++"""
 _HEAD = (
-    rf"(?siU)\A{_NOTES}INSERT\s++(?:INTO\s++)?+(?:{_NAME}\s*+\.\s*+)?+({_NAME})\s*+"
+    rf"(?siU)\A{_NOTES}(?:INSERT\s++(?:IGNORE\s++)?+|REPLACE\s++)(?:INTO\s++)?+(?:{_NAME}\s*+\.\s*+)?+({_NAME})\s*+"
     rf"({_COLUMNS})?+\s*+VALUES?+\s*+"
 )
 _TUPLES = rf"{_NOTES}{_TUPLE}(?:{_NOTES},{_NOTES}{_TUPLE})*+{_NOTES}"
-_COMPLETE = rf"{_HEAD}{_TUPLES};*+\s*+\z"
+# Assignments of a clause for rows that are there: a value of the new row or a literal, set or added.
+_NEW = rf"VALUES\s*+\(\s*+{_NAME}\s*+\)"
+_PLAIN = rf"(?:{_STRING}|[-+]?+[\d.]++(?:E[-+]?+\d++)?+|NULL)"
+_ASSIGNED = rf"{_NAME}\s*+=\s*+(?:{_NEW}|{_PLAIN}|{_NAME}\s*+\+\s*+(?:{_NEW}|{_PLAIN}))"
+_CLAUSE = rf"ON\s++DUPLICATE\s++KEY\s++UPDATE\s++({_ASSIGNED}(?:\s*+,\s*+{_ASSIGNED})*+)\s*+"
+_COMPLETE = rf"{_HEAD}{_TUPLES}(?:{_CLAUSE})?+;*+\s*+\z"
 _UPSERT = rf"{_HEAD}{_TUPLES}(?:AS\s++|ON\s++DUPLICATE\s++)"
+_ONE_ASSIGNED = rf"(?siU)\A({_NAME})\s*+=\s*+(?:({_NAME})\s*+\+\s*+)?+(?:VALUES\s*+\(\s*+({_NAME})\s*+\)|({_PLAIN}))\s*+\z"
 
 # What stands between pieces: up to one comma before a run of tuples, and one comma or the terminator behind.
 GROUP_OF_TUPLES = rf"(?siU)\A{_NOTES}(,?+){_NOTES}({_TUPLE}(?:{_NOTES},{_NOTES}{_TUPLE})*+)?+{_NOTES}(,?+){_NOTES};*+\s*+\z"
@@ -84,6 +90,39 @@ def insert_table(text: Column) -> Column:
     return _unquote_name(F.regexp_extract(text, _HEAD, 1))
 
 
+def insert_mode(text: Column) -> Column:
+    """What a row whose key is there already does: `insert` fails its statement, `ignore` is left out,
+    `replace` takes the place of the other, `update` changes it."""
+    return (
+        F.when(text.rlike(rf"(?siU)\A{_NOTES}REPLACE\s"), "replace")
+        .when(text.rlike(rf"(?siU)\A{_NOTES}INSERT\s++IGNORE\s"), "ignore")
+        .when(F.regexp_extract(text, _COMPLETE, 3) != "", "update")
+        .otherwise("insert")
+    )
+
+
+def insert_updates(text: Column) -> Column:
+    """Assignments for rows that are there, as `array<struct<column, adds, source, value>>`.
+
+    `source` names a column of the new row, or is NULL and `value` a literal. An assignment that adds to another
+    column than its own has no column.
+    """
+
+    def assigned(one: Column) -> Column:
+        name, base, source, literal = (F.regexp_extract(one, _ONE_ASSIGNED, k) for k in (1, 2, 3, 4))
+        column = F.lower(_unquote_name(name))
+        own = (base == "") | (F.lower(_unquote_name(base)) == column)
+        return F.struct(
+            F.when(own, column).alias("column"),
+            (base != "").alias("adds"),
+            F.when(source != "", F.lower(_unquote_name(source))).alias("source"),
+            F.when(source == "", tuple_values(F.concat(F.lit("("), literal, F.lit(")")))[0]).alias("value"),
+        )
+
+    clause = F.regexp_extract(text, _COMPLETE, 3)
+    return F.transform(F.regexp_extract_all(clause, F.lit(rf"(?siU){_ASSIGNED}"), F.lit(0)), assigned)
+
+
 def insert_columns(text: Column) -> Column:
     """Column names an INSERT lists, in lower case; an empty array if it lists none."""
     names = F.regexp_extract_all(F.regexp_extract(text, _HEAD, 2), F.lit(rf"(?U){_NAME}"), F.lit(0))
@@ -123,8 +162,7 @@ def leaves(bare: Column) -> Column:
 
 def insert_tuples(text: Column) -> Column:
     """The parenthesised tuples of an INSERT, as text."""
-    head = F.regexp_extract(text, _HEAD, 0)
-    return tuples_of(text.substr(F.length(head) + 1, F.length(text)))
+    return tuples_of(F.regexp_extract(text, rf"{_HEAD}({_TUPLES})", 3))
 
 
 def _unescape(literal: Column) -> Column:

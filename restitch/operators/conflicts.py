@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from restitch.session import checkpoint
 
-_STATEMENT = ["script_idx", "seq"]
+STATEMENT = ("script_idx", "seq")
 
 # A value shared by more rows than this, or than one in HOT_SHARE of all, is hot. There
 # are at most HOT_SHARE hot values, so their facts are small enough to be broadcast.
@@ -57,17 +57,22 @@ def _look_up(rows: DataFrame, facts: DataFrame, on: Sequence[str], n_rows: int,
     return rows.join(hot.drop("n"), on).unionByName(rare)
 
 
-def _numbered_statements(claims: DataFrame) -> DataFrame:
+def _numbered_statements(claims: DataFrame, statement: Sequence[str]) -> DataFrame:
     """`(script_idx, seq, at, n)`: numbers that grow in run order."""
-    placed = checkpoint(claims.groupBy(*_STATEMENT).agg(F.count("*").alias("n")).orderBy(*_STATEMENT))
+    placed = checkpoint(claims.groupBy(*statement).agg(F.count("*").alias("n")).orderBy(*statement))
     return placed.withColumn("at", F.monotonically_increasing_id())
 
 
 def _numbered_claims(
-    claims: DataFrame, statements: DataFrame, unique: Sequence[Sequence[str]], present: DataFrame | None, n_rows: int
+    claims: DataFrame,
+    statements: DataFrame,
+    statement: Sequence[str],
+    unique: Sequence[Sequence[str]],
+    present: DataFrame | None,
+    n_rows: int,
 ) -> tuple[DataFrame, DataFrame | None]:
     """`(at, key, n)` for each key that a statement holds, `n` times, and the numbers of keys in the table."""
-    placed = _look_up(claims, statements, _STATEMENT, n_rows)
+    placed = _look_up(claims, statements, statement, n_rows)
     held, there = [], []
     for k, names in enumerate(unique):
         names = list(names)
@@ -179,24 +184,27 @@ def _settled_in_round(claims: DataFrame, n_rows: int, chains: bool) -> DataFrame
 
 
 def take_in_order(
-    claims: DataFrame, keys: Sequence[str] | Sequence[Sequence[str]], present: DataFrame | None = None
+    claims: DataFrame,
+    keys: Sequence[str] | Sequence[Sequence[str]],
+    present: DataFrame | None = None,
+    statement: Sequence[str] = STATEMENT,
 ) -> DataFrame:
     """`(script_idx, seq, taken)` for every statement in `claims` (a row per row to insert).
 
     `keys` are the columns of the key, or several lists of these. Rows of `present` have the same
-    columns.
+    columns. `statement` names the columns that tell statements apart and put them in order.
     """
     unique = [list(keys)] if all(isinstance(k, str) for k in keys) else [list(k) for k in keys]
     names = list(dict.fromkeys(c for k in unique for c in k))
     # The statement's number has names of its own, so key columns may be called like it.
-    claims = claims.select(*_STATEMENT, *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)])
+    claims = claims.select(*statement, *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)])
     if present is not None:
         present = present.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)])
     unique = [[f"own_{names.index(c)}" for c in k] for k in unique]
 
-    statements = _numbered_statements(claims)
+    statements = _numbered_statements(claims, statement)
     n_rows = statements.agg(F.sum("n")).first()[0] or 0
-    numbered, gone = _numbered_claims(claims, statements, unique, present, n_rows)
+    numbered, gone = _numbered_claims(claims, statements, statement, unique, present, n_rows)
     failed = numbered.where("n > 1").select("at")
     if gone is not None:
         failed = failed.unionByName(numbered.join(gone, "key", "left_semi").select("at"))
@@ -220,5 +228,5 @@ def take_in_order(
         n_before, n_open = n_open, still.count()
     verdicts = reduce(DataFrame.unionByName, settled)
     # Statements without a key that could clash are in none of these.
-    known = statements.select(*_STATEMENT, "at").join(verdicts, "at", "left")
-    return known.select(*_STATEMENT, F.coalesce("taken", F.lit(True)).alias("taken"))
+    known = statements.select(*statement, "at").join(verdicts, "at", "left")
+    return known.select(*statement, F.coalesce("taken", F.lit(True)).alias("taken"))

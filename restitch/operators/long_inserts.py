@@ -25,13 +25,14 @@ from restitch.functions.inserts import (
     bare_text,
     insert_columns,
     insert_head,
+    insert_mode,
     insert_table,
     leaves,
     statement_kind,
     tuple_values,
     tuples_of,
 )
-from restitch.operators.restore import POSITION, parse
+from restitch.operators.restore import POSITION, STATEMENT_COLUMNS, parse
 from restitch.operators.segment import Segmentation
 from restitch.session import checkpoint, shuffle_partitions, stage
 
@@ -45,6 +46,8 @@ HEAD_CHARS = 1 << 17
 # Tuples of one group of pieces are numbered below this; a piece can't hold as many.
 GROUP_ROWS = 1 << 31
 
+UPDATES = "array<struct<column: string, adds: boolean, source: string, value: struct<kind: string, text: string>>>"
+
 _CHUNK = [*POSITION, "chunk"]
 _ORDER = ["line_no", "pos", "part"]
 
@@ -184,6 +187,7 @@ def _heads(pieces: DataFrame) -> DataFrame:
         kind.alias("kind"),
         F.when(kind == "insert", insert_table(F.col("lead"))).alias("table_name"),
         F.when(kind == "insert", insert_columns(F.col("lead"))).alias("column_names"),
+        F.when(kind == "insert", insert_mode(F.col("lead"))).alias("mode"),
         F.when(kind == "insert", insert_head(F.col("lead"))).alias("head"),
     )
 
@@ -224,17 +228,19 @@ def parse_long(segmentation: Segmentation, fragments: DataFrame | None = None) -
     good = F.col("sound") & F.col("some") & F.col("last.ends_plain") & ~F.col("last.after")
     verdicts = heads.join(judged.select(*POSITION, good.alias("good")), POSITION, "left")
     kind = F.when(F.col("kind") == "other", "other").when(F.coalesce("good", F.lit(False)), "insert").otherwise("syntax")
-    verdicts = checkpoint(verdicts.select(*POSITION, kind.alias("kind"), "table_name", "column_names"))
+    verdicts = checkpoint(verdicts.select(*POSITION, kind.alias("kind"), "table_name", "column_names", "mode"))
+    # A clause for rows that are there makes a long statement one of kind `syntax`.
+    verdicts = verdicts.withColumn("updates", F.lit(None).cast(UPDATES))
     rows = groups.select(*POSITION, "group_no", F.posexplode("tuples").alias("at", "row"))
     rows = rows.join(_few(verdicts.where("kind = 'insert'")), POSITION)
     number = F.col("group_no") * GROUP_ROWS + F.col("at")
     parsed = rows.select(
-        *(*POSITION, "kind", "table_name", "column_names"),
+        *(*POSITION, *STATEMENT_COLUMNS),
         number.alias("row_no"),
         F.explode(F.array(tuple_values(F.col("row")))).alias("values"),
     )
     none = verdicts.where("kind <> 'insert'").select(
-        *POSITION, "kind", "table_name", "column_names", F.lit(None).cast("long").alias("row_no"), F.lit(None).cast(parsed.schema["values"].dataType).alias("values")
+        *POSITION, *STATEMENT_COLUMNS, F.lit(None).cast("long").alias("row_no"), F.lit(None).cast(parsed.schema["values"].dataType).alias("values")
     )
     return parsed.unionByName(none)
 

@@ -360,7 +360,8 @@ class Segmentation:
             carried.withColumn("own", own)
             .withColumn(
                 "kept",
-                F.when(F.col("own"), F.col("state.kept"))
+                F.when(F.col("state").isNull(), lost)
+                .when(F.col("own"), F.col("state.kept"))
                 .when(F.col("changes"), lost)
                 .otherwise(~F.col("state.open") & F.col("has_text")),
             )

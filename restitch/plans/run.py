@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from restitch.operators import outcomes as _outcomes
 from restitch.operators.long_inserts import parse_all
@@ -15,7 +16,7 @@ from restitch.operators.segment import MAX_STATEMENT_CHARS, Segmentation
 from restitch.session import checkpoint
 from restitch.sources.pieces import lines_of_fragments, scan_fragments
 from restitch.sources.scripts import manifest, scan_scripts
-from restitch.sources.tables import append_rows, existing_rows, prepare_database
+from restitch.sources.tables import append_rows, existing_rows, prepare_database, replace_rows
 
 
 @dataclass(frozen=True)
@@ -60,9 +61,17 @@ def run_scripts(
         table: replace(target, existing=existing_rows(spark, database, table)) for table, target in targets.items()
     }
     # Settled before anything is written: appending changes what the tables hold.
-    outcomes = checkpoint(_outcomes.resolve(parsed, targets, stop_on_error))
+    settled = _outcomes.settle(parsed, targets)
+    outcomes = _outcomes.until_first_failure(settled.outcomes) if stop_on_error else settled.outcomes
+    outcomes, left_out = checkpoint(outcomes), checkpoint(settled.left_out)
+    changed = parsed.where("mode in ('replace', 'update')").select("table_name").distinct()
+    changed = {row["table_name"] for row in changed.where(F.col("table_name").isin(*targets)).collect()}
     for table, target in targets.items():
-        append_rows(_outcomes.applied_rows(parsed, outcomes, table, target), database, table)
+        if table in changed and target.keys and not target.unique:
+            rows = stage(_outcomes.table_after(parsed, _outcomes.Settled(outcomes, left_out), table, target))
+            replace_rows(rows, database, table)
+        else:
+            append_rows(_outcomes.applied_rows(parsed, outcomes, table, target, left_out), database, table)
     return Run(
         statements=statements,
         outcomes=outcomes,

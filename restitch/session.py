@@ -12,7 +12,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of `df`: lineage is cut and a lost executor loses nothing.
 
     The folder is the one the cluster names in `spark.checkpoint.dir`; only a
-    session without it (tests) gets a folder of its own.
+    session on one machine gets a folder of its own without it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -39,8 +39,12 @@ def checkpoint_partitioned(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, for files a plan writes on the way."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    return named or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="restitch-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="restitch-")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -33,6 +33,11 @@ def append_rows(rows: DataFrame, database: str, table: str) -> None:
     rows.write.mode("append").saveAsTable(table_name(database, table))
 
 
+def replace_rows(rows: DataFrame, database: str, table: str) -> None:
+    """`rows` instead of what the table holds; they must not be read from it."""
+    rows.write.mode("overwrite").saveAsTable(table_name(database, table))
+
+
 def append_jdbc(rows: DataFrame, url: str, table: str, **options: str) -> None:
     """Append over JDBC instead; the caller brings the driver."""
     rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()

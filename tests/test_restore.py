@@ -92,7 +92,7 @@ def test_problems(spark):
         8: ("failed", "syntax"),
         9: ("skipped", "unsupported"),
         10: ("skipped", "unsupported"),
-        11: ("skipped", "unsupported"),
+        11: ("ok", None),
         12: ("skipped", "unsupported"),
         13: ("failed", "too_long"),
         14: ("failed", "syntax"),
