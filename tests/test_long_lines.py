@@ -4,8 +4,9 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from restitch import Segmentation, parse, scan_scripts
+from restitch import Segmentation, Target, parse, run_scripts, scan_scripts
 from restitch.operators import long_inserts
 from restitch.session import checkpoint
 from restitch.sources import pieces
@@ -128,3 +129,15 @@ def test_broken_long_inserts(spark, tmp_path):
     want = kinds(parse(Segmentation(lines).statements()))
     assert [kind for _, kind in want] == ["syntax"] * 6 + ["insert", "syntax"]
     assert kinds(long_inserts.parse_all(Segmentation(lines, max_statement_chars=1))) == want
+
+
+def test_run_with_long_lines(spark, tmp_path):
+    path = tmp_path / "run.sql"
+    path.write_text("INSERT INTO t VALUES (1,'a'),(2,'b');\nINSERT INTO t VALUES (3,'c),('),(4,'d');\nINSERT INTO t VALUES (4,'e');\nCALL x;\n")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType())])
+    found = []
+    for k, options in enumerate(({}, {"long_lines": True}, {"long_lines": True, "max_statement_chars": 8})):
+        run = run_scripts(spark, [str(path)], f"long_{k}", {"t": Target(schema, ["id"])}, **options)
+        rows = sorted(tuple(r) for r in spark.table(f"long_{k}.t").collect())
+        found.append((rows, sorted((r.seq, r.status, r.reason) for r in run.outcomes.collect())))
+    assert found[0] == found[1] == found[2] and (3, "c),(") in found[0][0]
