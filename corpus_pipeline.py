@@ -4,6 +4,9 @@ Every stage takes `(spark, docs, sf_dir)` and returns a DataFrame: filters and r
 with the columns of `documents`, the last one the places of all pieces in the sequences. The
 table that a stage writes lies in the shared folder, so a lost executor costs a stage's tasks
 and no more.
+
+Null and empty texts fail the first stage's rules. Of repeated rows one passes the second. Empty tables
+pass all stages and end in no pieces. Further columns are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ edit in `EDIT_EVERY` characters, but pieces keep at least `LEAST_PIECE` of them;
 items get fewer edits. Items below `LEAST_ITEM` characters get none and must stand as whole words
 (scripts that don't separate words excepted), whatever their length: an item "yes" is found
 in every document with that word. Empty and null items are not looked for. Null and empty
-documents hold nothing. Repeated items and rows are found one by one.
+documents hold nothing. Repeated items and rows are found one by one. An empty table of documents or items
+gives no rows, and without items all documents stay.
 
 Items are searched in batches of at most `BATCH_CHARS` characters, counted before; each
 batch is one pass over the documents, so memory stays bounded however many items there are.

@@ -18,7 +18,8 @@ still of several classes, these are compared across classes, in blocks, until li
 one; similarities there are exact, from a table of the shingles of a block, so what is missed is
 what banding misses, and no pairs are written but those that are links. Exact copies are one node; nodes are 128-bit digests.
 
-Null and empty texts have no words and stand alone. Repeated rows are copies of each other.
+Null and empty texts have no words and stand alone. Repeated rows are copies of each other. An empty
+table gives no rows.
 """
 
 from __future__ import annotations

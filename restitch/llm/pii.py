@@ -28,7 +28,7 @@ witness: documents of an entity that share any of `SKETCH` least hashes of their
 a table has far fewer terms than documents; elsewhere all words of a document that occur once
 meet it just as often as chance has it, and what counts is the value's domain or beginning.
 
-Null and empty texts have no spans. Repeated rows get equal results and count as documents of
+An empty table gives no rows. Null and empty texts have no spans. Repeated rows get equal results and count as documents of
 their own. A match that fails its check (parts, digits, Luhn) is dropped and not tried again.
 """
 

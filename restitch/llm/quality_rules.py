@@ -13,7 +13,7 @@ word length, equal lines and repeats only what exceeds a tolerance: rare but har
 values would be as isolated as junk.
 
 Null or empty texts have no words and fail the base rule. Repeated rows get equal
-verdicts. Without usable labels the threshold is `DEFAULT_THRESHOLD`; with too few
+verdicts. An empty table gives no rows. Without usable labels the threshold is `DEFAULT_THRESHOLD`; with too few
 distinct statistics to grow a tree nothing but the base rule rejects.
 """
 

@@ -9,7 +9,8 @@ A category's threshold is the one with the best F-beta on the out-of-fold probab
 
 Null and empty texts have no words and get what the models give to none. Documents without
 labels only get scored; labels of one document that differ count as the larger one. Without
-labels all probabilities are even and nothing is flagged. Repeated rows get equal results.
+labels all probabilities are even and nothing is flagged. Repeated rows get equal results. An empty
+table gives no rows.
 """
 
 from __future__ import annotations

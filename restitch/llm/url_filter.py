@@ -11,6 +11,9 @@ slashes at the end, so that the usual variants of an address meet in one.
 The filter is a table of blocks of 256 bits (eight lanes of 32); a URL sets one bit in each
 lane of one block. It says no for sure, so only possible hits go on to the exact join. Its
 table is broadcast while it is below `BROADCAST_BLOCKS`; a larger one is joined by shuffle.
+
+Of rules of equal length that fit, the one given first decides. Repeated rows get equal verdicts, a URL listed
+twice counts once, an empty table gives no rows, and an empty list blocks nothing.
 """
 
 from __future__ import annotations
