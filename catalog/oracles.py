@@ -172,9 +172,13 @@ ordered as (
 )
 """
 
+_SCRIPT_LINES = f"""{_ORDER_LINES}
+select script_idx, row_number() over (partition by script_idx order by place, part) as line_no, line from rendered"""
+
 ORACLES = {
-    "script_lines": f"""{_ORDER_LINES}
-select script_idx, row_number() over (partition by script_idx order by place, part) as line_no, line from rendered""",
+    "script_lines": _SCRIPT_LINES,
+    "script_lines_packed": _SCRIPT_LINES,
+    "script_lines_utf16": _SCRIPT_LINES,
     "script_manifest": f"""{_ORDER_LINES},
 sizes as (select script_idx, sum(octet_length(line::blob) + 1)::bigint as file_bytes from rendered group by script_idx)
 select * from sizes

@@ -71,6 +71,16 @@ def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_lines(scan_scripts(spark, paths)).select("script_idx", "line_no", "line")
 
 
+def script_lines_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = samples.write_packed_scripts(samples.order_lines(spark, sf_dir))
+    return number_lines(scan_scripts(spark, paths)).select("script_idx", "line_no", "line")
+
+
+def script_lines_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = samples.write_utf16_scripts(samples.order_lines(spark, sf_dir))
+    return number_lines(scan_scripts(spark, paths)).select("script_idx", "line_no", "line")
+
+
 def script_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = samples.write_scripts(samples.order_lines(spark, sf_dir))
     return manifest(spark, [*paths, paths[0]]).select("script_idx", "file_bytes")
@@ -244,6 +254,8 @@ def resume_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "script_lines": script_lines,
+    "script_lines_packed": script_lines_packed,
+    "script_lines_utf16": script_lines_utf16,
     "script_manifest": script_manifest,
     "script_long_lines": script_long_lines,
     "comment_state": comment_state,

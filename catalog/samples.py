@@ -172,10 +172,27 @@ def write_scripts(lines: DataFrame) -> list[str]:
     return _written(ordered.select("script_idx", "line"), "\n")
 
 
-def _written(lines: DataFrame, separator: str) -> list[str]:
+def write_packed_scripts(lines: DataFrame) -> list[str]:
+    """The same, packed in blocks that are read on their own."""
+    ordered = lines.repartition("script_idx").sortWithinPartitions("script_idx", "chunk", "pos")
+    return _written(ordered.select("script_idx", "line"), "\n", compression="bzip2")
+
+
+def write_utf16_scripts(lines: DataFrame) -> list[str]:
+    """The same in UTF-16, with a byte-order mark."""
+    firsts = lines.groupBy("script_idx").agg(F.min(F.struct("chunk", "pos")).alias("first"))
+    mark = F.when(F.struct("chunk", "pos") == F.col("first"), "\ufeff").otherwise("")
+    marked = lines.join(firsts, "script_idx").withColumn("line", F.concat(mark, "line"))
+    ordered = marked.repartition("script_idx").sortWithinPartitions("script_idx", "chunk", "pos")
+    # The writer takes the bytes as they are, and puts line ends of the same encoding between.
+    encoded = ordered.select("script_idx", F.encode("line", "UTF-16LE").cast("string").alias("line"))
+    return _written(encoded, "\n", encoding="UTF-16LE")
+
+
+def _written(lines: DataFrame, separator: str, **options: str) -> list[str]:
     spark = lines.sparkSession
     folder = f"{shared_folder(spark)}/scripts-{uuid.uuid4().hex}"
-    lines.write.partitionBy("script_idx").option("lineSep", separator).text(folder)
+    lines.write.partitionBy("script_idx").option("lineSep", separator).options(**options).text(folder)
     # The list of scripts is driver-side by nature: it is the argument list of a run.
     files = spark.read.format("binaryFile").load(folder).select("path").collect()
     return sorted((row.path for row in files), key=lambda path: int(re.search(r"script_idx=(\d+)", path).group(1)))

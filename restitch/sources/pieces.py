@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from restitch.functions.text import COMMENT_CLOSE, COMMENT_OPEN, VERSIONED_OPEN, utf16_length
 from restitch.session import pin_file_splits, stage
-from restitch.sources.scripts import ANY_BREAK, read_key, script_list, to_read
+from restitch.sources.encodings import encoding_of
+from restitch.sources.names import read_key
+from restitch.sources.scripts import ANY_BREAK, PACKED, script_list, to_read
 
 PIECE_END = "),"
 LONG_LINE = 1 << 16
@@ -43,6 +45,9 @@ def scan_fragments(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     ends with `),`.
     """
     listed, known = script_list(spark, paths)
+    for path, uri in known.items():
+        if uri.endswith(PACKED) or encoding_of(spark, uri):
+            raise ValueError(f"lines of any length are read from plain UTF-8 files only: {path!r}")
     pin_file_splits(spark)
     pieces = spark.read.option("lineSep", PIECE_END).text(to_read(known)).select(
         read_key().alias("file_key"),

@@ -15,23 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from restitch.session import pin_file_splits
+from restitch.sources.encodings import WIDE, encoding_of, wide_lines
+from restitch.sources.names import file_key, read_key
 
 ANY_BREAK = r"\r\n|\n|\r"
 
+# Endings of packed files.
+PACKED = (".gz", ".bz2")
+
 # The list of scripts is sent to every executor in parts of so many; each part is a scan of its own.
 LIST_PART = 500_000
 
 
-def _file_key(name: Column) -> Column:
-    return F.regexp_replace(name, "^file:/+", "file:/")
-
-
-def read_key() -> Column:
-    """Key of the file a row was read from; its metadata give the name as an escaped URI."""
-    escaped = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    return _file_key(F.url_decode(escaped))
-
-
 def _resolve(spark: SparkSession, path: str) -> str:
     """Qualified name of an existing script file; a missing one is an error."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -63,7 +58,7 @@ def script_list(spark: SparkSession, paths: Sequence[str], first: int = 0) -> tu
     known = _resolved(spark, paths)
     rows = [(idx, path, known[path]) for idx, path in enumerate(paths, first)]
     listed = spark.createDataFrame(rows, "script_idx long, script_path string, uri string")
-    return listed.withColumn("file_key", _file_key(F.col("uri"))).drop("uri"), known
+    return listed.withColumn("file_key", file_key(F.col("uri"))).drop("uri"), known
 
 
 def manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -83,7 +78,9 @@ def scan_scripts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Lines of script files. Large files are read as many splits at once.
 
     Each distinct file is read once; the list (driver-side by nature) is joined on.
-    Bytes that are not UTF-8 become replacement characters.
+    A byte-order mark tells UTF-16 and UTF-32, else a file is read as UTF-8. Bytes that make no
+    character become replacement characters. Files packed with gzip or bzip2 (`.gz`, `.bz2`) are
+    unpacked on the way, bzip2 in several splits; what they hold is read as UTF-8.
     """
     pin_file_splits(spark)
     parts = [_scan_part(spark, paths[at : at + LIST_PART], at) for at in range(0, len(paths), LIST_PART)]
@@ -94,12 +91,21 @@ def _scan_part(spark: SparkSession, paths: Sequence[str], first: int) -> DataFra
     listed, known = script_list(spark, paths, first)
     if not paths:
         return listed.select("script_idx", *[F.lit(0).cast("long").alias(c) for c in ("chunk", "pos")], F.col("script_path").alias("line"))
-    scanned = spark.read.text(to_read(known)).select(
-        read_key().alias("file_key"),
-        F.col("_metadata.file_block_start").alias("chunk"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.make_valid_utf8("value").alias("line"),
-    )
+    told = {uri: encoding_of(spark, uri) for uri in dict.fromkeys(known.values())}
+    scanned = []
+    if narrow := [_as_pattern(uri) for uri, wide in told.items() if wide is None]:
+        scanned.append(
+            spark.read.text(narrow).select(
+                read_key().alias("file_key"),
+                F.col("_metadata.file_block_start").alias("chunk"),
+                F.monotonically_increasing_id().alias("pos"),
+                F.make_valid_utf8("value").alias("line"),
+            )
+        )
+    for wide in WIDE:
+        if files := [_as_pattern(uri) for uri, found in told.items() if found == wide]:
+            scanned.append(wide_lines(spark, files, wide))
+    scanned = reduce(DataFrame.unionByName, scanned)
     # The argument list of a run, held by the driver already. A shuffle on the file name
     # would send all lines of a script to one task.
     return scanned.join(F.broadcast(listed), "file_key").select("script_idx", "chunk", "pos", "line")
