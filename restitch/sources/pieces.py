@@ -38,13 +38,13 @@ _BOM = 3
 _LINE = ["script_idx", "line_no"]
 
 
-def scan_fragments(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def scan_fragments(spark: SparkSession, paths: Sequence[str], first: int = 0) -> DataFrame:
     """`(script_idx, chunk, pos, part, line_no, text)`, staged once in the shared folder.
 
     Fragments of a script are in order of `(chunk, pos, part)`; one that doesn't end its line
     ends with `),`.
     """
-    listed, known = script_list(spark, paths)
+    listed, known = script_list(spark, paths, first)
     for path, uri in known.items():
         if uri.endswith(PACKED) or encoding_of(spark, uri):
             raise ValueError(f"lines of any length are read from plain UTF-8 files only: {path!r}")

@@ -74,8 +74,8 @@ def manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return listed.join(sizes, "file_key", "left").select("script_idx", "script_path", size)
 
 
-def scan_scripts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Lines of script files. Large files are read as many splits at once.
+def scan_scripts(spark: SparkSession, paths: Sequence[str], first: int = 0) -> DataFrame:
+    """Lines of script files, counted from `first`. Large files are read as many splits at once.
 
     Each distinct file is read once; the list (driver-side by nature) is joined on.
     A byte-order mark tells UTF-16 and UTF-32, else a file is read as UTF-8. Bytes that make no
@@ -83,8 +83,8 @@ def scan_scripts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     unpacked on the way, bzip2 in several splits; what they hold is read as UTF-8.
     """
     pin_file_splits(spark)
-    parts = [_scan_part(spark, paths[at : at + LIST_PART], at) for at in range(0, len(paths), LIST_PART)]
-    return reduce(DataFrame.unionByName, parts) if parts else _scan_part(spark, [], 0)
+    parts = [_scan_part(spark, paths[at : at + LIST_PART], first + at) for at in range(0, len(paths), LIST_PART)]
+    return reduce(DataFrame.unionByName, parts) if parts else _scan_part(spark, [], first)
 
 
 def _scan_part(spark: SparkSession, paths: Sequence[str], first: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from restitch import Target, insert_rows, parse, resolve, run_scripts
 from restitch.operators.restore import statement_problems, typed_rows
+from restitch.plans import run as runs
 
 
 def schema(**types):
@@ -172,6 +173,56 @@ def test_stop_on_error_ends_the_run(spark, dumps):
     assert table(spark, "halted.t") == [(3, "c")]
 
 
+def test_prefixes_double():
+    assert runs.prefixes([5, 1, 1, 1, 9, 1, 30], 5) == [1, 5, 7]
+    assert runs.prefixes([1, 1, 1], 100) == [3]
+    assert runs.prefixes([], 5) == [0]
+
+
+def test_stop_leaves_later_scripts_unread(spark, tmp_path, monkeypatch):
+    """Whatever the parts, a run that stops tells the same; scripts far behind the failure are not read."""
+    paths = []
+    for i in range(9):
+        path = tmp_path / f"s{i}.sql"
+        # The fourth clashes with the first.
+        path.write_bytes(f"INSERT INTO t VALUES ({i % 3},'x');\nINSERT INTO t VALUES ({10 + i},'y');\n".encode())
+        paths.append(str(path))
+    scanned = []
+    scan = runs.scan_scripts
+    monkeypatch.setattr(runs, "scan_scripts", lambda spark, paths, first: scanned.append((first, len(paths))) or scan(spark, paths, first))
+    told = []
+    for k, first_bytes in enumerate((1, 1 << 30)):
+        monkeypatch.setattr(runs, "FIRST_BYTES", first_bytes)
+        database = f"early_{k}"
+        run = run_scripts(spark, paths, database, TARGETS, stop_on_error=True)
+        told.append(
+            (
+                sorted((r.script_idx, r.seq, r.status, r.reason) for r in run.outcomes.collect()),
+                sorted((r.script_idx, r.seq, r.text) for r in run.statements.collect()),
+                sorted((r.script_idx, r.seq, r.text, r.reason) for r in run.failures.collect()),
+                sorted((r.script_idx, r.seq, r.chars_done, r.file_no, r.file_count) for r in run.progress.collect()),
+                table(spark, f"{database}.t"),
+            )
+        )
+    assert told[0] == told[1]
+    assert told[0][0][-2:] == [(2, 2, "ok", None), (3, 1, "failed", "duplicate_key")]
+    assert [r[0] for r in told[0][4]] == [0, 1, 2, 10, 11, 12]
+    assert scanned == [(0, 1), (1, 1), (2, 2), (0, 9)]
+
+
+def test_stop_among_lines_of_any_length(spark, tmp_path, monkeypatch):
+    paths = []
+    for i in range(3):
+        path = tmp_path / f"s{i}.sql"
+        path.write_bytes(b"INSERT INTO t VALUES (1,'x'),(2,'y');\n")
+        paths.append(str(path))
+    monkeypatch.setattr(runs, "FIRST_BYTES", 1)
+    run = run_scripts(spark, paths, "early_long", TARGETS, stop_on_error=True, long_lines=True)
+    got = sorted((r.script_idx, r.seq, r.status, r.reason) for r in run.outcomes.collect())
+    assert got == [(0, 1, "ok", None), (1, 1, "failed", "duplicate_key")]
+    assert table(spark, "early_long.t") == [(1, "x"), (2, "y")]
+
+
 def test_same_script_twice(spark, dumps):
     run = run_scripts(spark, [dumps[1], dumps[1]], "twice", TARGETS)
     got = sorted((r.script_idx, r.seq, r.status) for r in run.outcomes.collect())
