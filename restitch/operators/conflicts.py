@@ -5,17 +5,20 @@ or from an earlier statement; otherwise it fails as a whole and leaves no key be
 table may have several unique keys; a statement fails if it clashes in any of them. Rows
 with a null in a key don't clash in that key.
 
-Statements and keys get numbers first: a key's number stands for one value of one key, in
-its own type, and statements are numbered in run order. All further work is on these.
+Keys that one row alone holds, and that are not in the table, decide nothing and are left out. The
+rest gets numbers: a key's number stands for one value of one key, in its own type, and
+statements are numbered in run order. All further work is on these.
 
 Then rounds: statements that come first for all of their keys are taken, others that hold
 a key of a taken one fail. What is left waits for earlier statements. Where a statement
 waits for a single one, it is taken just if that one isn't, so whole chains of these are
-settled at once: each looks up the one it waits for, then the one that waits for, twice as far
+settled at once: blocks of statements next to each other shorten their chains side by side, and what
+goes from block to block looks up the one it waits for, then the one that waits for, twice as far
 each time (pointer jumping), until the chain's beginning says which of them, in turn,
 are taken. What waits for several at once is split into parts that share no key; parts
-of bounded size are walked in order, many at a time, and larger ones go on in rounds.
-All ways give the same answer, and nothing depends on how many rounds there are.
+of bounded size are walked in order, many at a time, and larger ones go on in rounds. A
+rest of that size is walked as it is. All ways give the same answer, and nothing depends on
+how many rounds there are.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from restitch import session
 from restitch.session import checkpoint
 
 STATEMENT = ("script_idx", "seq")
@@ -40,16 +45,24 @@ HOT_SHARE = 10_000
 WALK_CLAIMS = 200_000
 # Chains are followed, and parts looked for, after rounds that leave more than this share open.
 SLOW_ROUND = 0.25
+# Chains are followed at once where fewer statements than this share of those in chains come first.
+FEW_LEADS = 0.1
+# Blocks of 2 to the power of this many numbers shorten their chains in one task each.
+BLOCK_BITS = 20
+
+
+def _staged(df: DataFrame) -> DataFrame:
+    return session.stage(df, "claims")
 
 
 def _look_up(rows: DataFrame, facts: DataFrame, on: Sequence[str], n_rows: int, how: str = "inner") -> DataFrame:
-    """Join facts about single values (`n` rows each) to rows, whatever the share of one value.
+    """Join facts about single values (`n` rows each; staged) to rows, whatever the share of one value.
 
     Facts of hot values travel to the rows; all others meet their rows in a shuffle.
     """
     on = list(on)
     hot_above = max(HOT_ROWS, n_rows // HOT_SHARE)
-    if n_rows <= hot_above:
+    if n_rows <= hot_above or facts.where(F.col("n") > hot_above).isEmpty():
         return rows.join(facts.drop("n"), on, how)
     hot = F.broadcast(facts.where(F.col("n") > hot_above))
     cold = facts.where(F.col("n") <= hot_above)
@@ -57,67 +70,104 @@ def _look_up(rows: DataFrame, facts: DataFrame, on: Sequence[str], n_rows: int,
     return rows.join(hot.drop("n"), on).unionByName(rare)
 
 
-def _numbered_statements(claims: DataFrame, statement: Sequence[str]) -> DataFrame:
-    """`(script_idx, seq, at, n)`: numbers that grow in run order."""
-    placed = checkpoint(claims.groupBy(*statement).agg(F.count("*").alias("n")).orderBy(*statement))
-    return placed.withColumn("at", F.monotonically_increasing_id())
+def _contested(claims: DataFrame, names: Sequence[str], present: DataFrame | None) -> DataFrame:
+    """`(key, n, gone)` for each value of a key that several rows hold, or that is in the table."""
+    values = claims.groupBy(*names).agg(F.count("*").alias("n"))
+    if present is None:
+        return values.where("n > 1").withColumn("gone", F.lit(False))
+    there = present.select(*names).distinct().withColumn("there", F.lit(True))
+    met = values.join(there, list(names), "left").withColumn("gone", F.coalesce("there", F.lit(False))).drop("there")
+    return met.where("n > 1 or gone")
 
 
 def _numbered_claims(
-    claims: DataFrame,
-    statements: DataFrame,
-    statement: Sequence[str],
-    unique: Sequence[Sequence[str]],
-    present: DataFrame | None,
-    n_rows: int,
-) -> tuple[DataFrame, DataFrame | None]:
-    """`(at, key, n)` for each key that a statement holds, `n` times, and the numbers of keys in the table."""
-    placed = _look_up(claims, statements, statement, n_rows)
-    held, there = [], []
+    claims: DataFrame, statement: Sequence[str], unique: Sequence[Sequence[str]], present: DataFrame | None
+) -> tuple[DataFrame, DataFrame, bool]:
+    """Claims on contested keys `(at, key, n, gone)`, `n` times each; their statements, with numbers that grow in run order; whether a key is hot."""
+    held, n_rows, most = [], 0, 0
     for k, names in enumerate(unique):
-        names = list(names)
-        full = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in names])
-        rows = placed.where(full).select("at", *[F.col(f"`{c}`").alias(f"key_{i}") for i, c in enumerate(names)])
+        full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
         columns = [f"key_{i}" for i in range(len(names))]
-        values = checkpoint(rows.groupBy(*columns).agg(F.count("*").alias("n")))
-        values = values.withColumn("key", F.monotonically_increasing_id() * len(unique) + k)
-        held.append(_look_up(rows, values, columns, n_rows).select("at", "key"))
-        if present is not None:
-            old = present.where(full).select(*[F.col(f"`{c}`").alias(f"key_{i}") for i, c in enumerate(names)])
-            there.append(values.join(old.distinct(), columns).select("key"))
-    numbered = reduce(DataFrame.unionByName, held).groupBy("at", "key").agg(F.count("*").alias("n"))
-    return checkpoint(numbered), checkpoint(reduce(DataFrame.unionByName, there)) if there else None
-
-
-def _without(claims: DataFrame, statements: DataFrame) -> DataFrame:
-    return claims.join(statements.select("at"), "at", "left_anti")
-
-
-def _heads(claims: DataFrame, n_rows: int) -> DataFrame:
+        named = [F.col(c).alias(key) for c, key in zip(names, columns, strict=True)]
+        rows = claims.where(full).select(*statement, *named)
+        old = None if present is None else present.where(full).select(*named)
+        values = checkpoint(_contested(rows, columns, old))
+        n_values, n, n_hottest = values.agg(F.count("*"), F.sum("n"), F.max("n")).first()
+        if n_values:
+            values = values.withColumn("key", F.monotonically_increasing_id() * len(unique) + k)
+            held.append(_look_up(rows, values, columns, n).select(*statement, "key", "gone"))
+            n_rows, most = n_rows + n, max(most, n_hottest)
+    if not held:
+        none = claims.sparkSession.createDataFrame([], "at long, key long, n long, gone boolean")
+        return none, claims.select(*statement).withColumn("at", F.lit(0).cast("long")).limit(0), False
+    rows = _staged(reduce(DataFrame.unionByName, held))
+    placed = rows.groupBy(*statement).agg(F.count("*").alias("n")).orderBy(*statement)
+    placed = _staged(placed.withColumn("at", F.monotonically_increasing_id()))
+    numbered = _look_up(rows, placed, statement, n_rows).groupBy(*statement, "at", "key")
+    numbered = numbered.agg(F.count("*").alias("n"), F.max("gone").alias("gone")).drop(*statement)
+    return _staged(numbered), placed.select(*statement, "at"), most > HOT_ROWS
+
+
+def _heads(claims: DataFrame, n_rows: int, hot: bool) -> DataFrame:
     """Claims with the first and second statement that hold their key."""
-    firsts = claims.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    ranked = checkpoint(_look_up(claims, firsts, ["key"], n_rows))
+    if not hot:
+        by_key = Window.partitionBy("key").orderBy("at")
+        ranked = claims.select("at", "key", F.first("at").over(by_key).alias("first"), F.row_number().over(by_key).alias("rank"))
+        # What second means to all claims of a key is asked for claims from the second on alone.
+        return ranked.select("at", "first", (F.col("rank") == 2).alias("is_second"), (F.col("rank") > 2).alias("is_later"))
+    firsts = _staged(claims.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n")))
+    ranked = _staged(_look_up(claims, firsts, ["key"], n_rows))
     later = ranked.where(F.col("at") > F.col("first"))
-    seconds = later.groupBy("key").agg(F.min("at").alias("second"), F.count("*").alias("n"))
-    return _look_up(ranked, seconds, ["key"], n_rows, "left")
+    seconds = _staged(later.groupBy("key").agg(F.min("at").alias("second"), F.count("*").alias("n")))
+    headed = _look_up(ranked, seconds, ["key"], n_rows, "left")
+    is_second, is_later = F.col("at") == F.col("second"), F.col("at") > F.col("second")
+    return headed.select("at", "first", F.coalesce(is_second, F.lit(False)).alias("is_second"), F.coalesce(is_later, F.lit(False)).alias("is_later"))
+
+
+def _shortened(links: pd.DataFrame) -> pd.DataFrame:
+    """Each link followed as far as these links go."""
+    links = links.sort_values("at")
+    at, up, odd = (links[c].to_numpy(copy=True) for c in ("at", "up", "odd"))
+    onward = np.minimum(np.searchsorted(at, up), len(at) - 1)
+    more = at[onward] == up
+    while more.any():
+        here = np.flatnonzero(more)
+        to = onward[here]
+        odd[here] ^= odd[to]
+        up[here], onward[here], more[here] = up[to], onward[to], more[to]
+    return pd.DataFrame({"at": at, "up": up, "odd": odd})
 
 
 def _ends_of_chains(links: DataFrame) -> DataFrame:
-    """`(at, up, odd)` for `links (at, up)`: the end of each chain, and whether it is an odd number of links away."""
-    jumps = checkpoint(links.withColumn("odd", F.lit(True)))
-    while True:
-        onward = jumps.select(F.col("at").alias("up"), F.col("up").alias("further"), F.col("odd").alias("too"))
-        moved = checkpoint(
-            jumps.join(onward, "up", "left").select(
-                "at",
-                F.coalesce("further", "up").alias("up"),
-                (F.col("odd") != F.coalesce("too", F.lit(False))).alias("odd"),
-                F.col("further").isNotNull().alias("moved"),
-            )
-        )
-        jumps = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return jumps
+    """`(at, up, odd)` for links of that kind: the end of each chain, and whether it is an odd number of steps away."""
+    known = links.select(F.col("at").alias("up"), F.lit(True).alias("more"))
+    jumps = _staged(links.join(known, "up", "left").select("at", "up", "odd", F.coalesce("more", F.lit(False)).alias("more")))
+    while not jumps.where("more").isEmpty():
+        onward = jumps.select(F.col("at").alias("up"), F.col("up").alias("further"), F.col("odd").alias("too"), F.col("more").alias("still"))
+        moved = jumps.where("more").join(onward, "up")
+        moved = moved.select("at", F.col("further").alias("up"), (F.col("odd") != F.col("too")).alias("odd"), F.col("still").alias("more"))
+        # What has arrived is looked up, but looks up nothing more.
+        jumps = _staged(jumps.where("not more").unionByName(moved))
+    return jumps.drop("more")
+
+
+def _settled_along_chains(links: DataFrame, leads: DataFrame, n_links: int, n_leads: int) -> DataFrame:
+    """Verdicts on what waits for a statement in `leads`, itself or through others that wait for one: `links (at, up)`."""
+    links = links.withColumn("odd", F.lit(True))
+    kind = "at long, up long, odd boolean"
+    block = F.shiftright("at", BLOCK_BITS).alias("block")
+    short = _staged(links.groupBy(block).applyInPandas(_shortened, kind))
+    exits = _staged(short.groupBy("up").agg(F.count("*").alias("n")))
+    middle = _staged(short.join(exits.select(F.col("up").alias("at")), "at", "left_semi"))
+    if middle.count() <= WALK_CLAIMS:
+        ends = middle.groupBy(F.lit(True)).applyInPandas(_shortened, kind)
+    else:
+        ends = _ends_of_chains(middle)
+    ends = ends.select(F.col("at").alias("up"), F.col("up").alias("end"), F.col("odd").alias("too"))
+    ended = exits.join(ends, "up", "left").select("up", "n", F.coalesce("end", "up").alias("at"), F.coalesce("too", F.lit(False)).alias("too"))
+    # Many chains may have one end, so a small table travels to them.
+    sure = _staged(ended.join(F.broadcast(leads) if n_leads <= WALK_CLAIMS else leads, "at", "left_semi").drop("at"))
+    return _look_up(short, sure, ["up"], n_links).select("at", (F.col("odd") == F.col("too")).alias("taken"))
 
 
 def _parts(claims: DataFrame, n_rows: int) -> DataFrame:
@@ -126,7 +176,7 @@ def _parts(claims: DataFrame, n_rows: int) -> DataFrame:
     Large-star and small-star steps in turn (Kiveris et al. 2014).
     """
     firsts = claims.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    edges = _look_up(claims, firsts, ["key"], n_rows).where("at <> first").select(F.col("at").alias("a"), F.col("first").alias("b"))
+    edges = _look_up(claims, _staged(firsts), ["key"], n_rows).where("at <> first").select(F.col("at").alias("a"), F.col("first").alias("b"))
     edges, before = checkpoint(edges.distinct()), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -145,88 +195,105 @@ def _parts(claims: DataFrame, n_rows: int) -> DataFrame:
 
 
 def _walk(claims: pd.DataFrame) -> pd.DataFrame:
+    claims = claims.sort_values("at")
+    at, keys = claims["at"].to_numpy(), claims["key"].tolist()
+    firsts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     taken: set[int] = set()
     verdicts = []
-    for at, keys in claims.sort_values("at").groupby("at", sort=True)["key"]:
-        held = set(keys.tolist())
-        free = taken.isdisjoint(held)
-        if free:
-            taken |= held
-        verdicts.append((at, free))
-    return pd.DataFrame(verdicts, columns=["at", "taken"])
+    for begin, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(keys)], strict=True):
+        held = keys[begin:end]
+        verdicts.append(taken.isdisjoint(held))
+        if verdicts[-1]:
+            taken.update(held)
+    return pd.DataFrame({"at": at[firsts], "taken": verdicts})
 
 
 def _settled_by_walking(claims: DataFrame, n_rows: int) -> DataFrame:
     """Verdicts on the statements of all parts that are small enough for one task."""
+    if n_rows <= WALK_CLAIMS:
+        return _staged(claims.groupBy(F.lit(True)).applyInPandas(_walk, "at long, taken boolean"))
     placed = claims.join(_parts(claims, n_rows), "at")
     small = placed.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") <= WALK_CLAIMS).select("part")
-    return checkpoint(placed.join(small, "part").groupBy("part").applyInPandas(_walk, "at long, taken boolean"))
+    return _staged(placed.join(small, "part").groupBy("part").applyInPandas(_walk, "at long, taken boolean"))
 
 
-def _settled_in_round(claims: DataFrame, n_rows: int, chains: bool) -> DataFrame:
+def _settled_in_round(claims: DataFrame, n_rows: int, hot: bool, chains: bool) -> DataFrame:
     """Verdicts of one round: those that come first are taken, and with `chains` what waits for one of them in line."""
-    headed = _heads(claims, n_rows)
-    waits_for = F.when(F.col("at") == F.col("second"), F.col("first"))
-    told = checkpoint(
-        headed.groupBy("at").agg(
-            F.min(F.col("first") == F.col("at")).alias("leads"),
-            F.max(F.coalesce(F.col("at") > F.col("second"), F.lit(False))).alias("many"),
-            F.min(waits_for).alias("up"),
-            F.max(waits_for).alias("up_too"),
-        )
+    headed = _heads(claims, n_rows, hot)
+    waits_for = F.when(F.col("is_second"), F.col("first"))
+    told = headed.groupBy("at").agg(
+        F.min(F.col("first") == F.col("at")).alias("leads"),
+        F.max("is_later").alias("many"),
+        F.min(waits_for).alias("up"),
+        F.max(waits_for).alias("up_too"),
     )
-    leads = told.where("leads").select("at", F.lit(True).alias("taken"))
-    if not chains:
-        return leads
-    ends = _ends_of_chains(told.where("not leads and not many and up = up_too").select("at", "up"))
-    decided = ends.join(leads.select(F.col("at").alias("up")), "up", "left_semi").select("at", (~F.col("odd")).alias("taken"))
-    return checkpoint(leads.unionByName(decided))
+    told = _staged(told.select("at", "leads", "up", (~F.col("leads") & ~F.col("many") & (F.col("up") == F.col("up_too"))).alias("in_line")))
+    leads, links = told.where("leads").select("at"), told.where("in_line").select("at", "up")
+    n_leads, n_links = told.agg(F.count_if("leads"), F.count_if("in_line")).first()
+    done = leads.withColumn("taken", F.lit(True))
+    if n_links and (chains or n_leads < FEW_LEADS * n_links):
+        done = done.unionByName(_settled_along_chains(links, leads, n_links, n_leads))
+    return done
 
 
-def take_in_order(
+def clashing(
     claims: DataFrame,
     keys: Sequence[str] | Sequence[Sequence[str]],
     present: DataFrame | None = None,
     statement: Sequence[str] = STATEMENT,
 ) -> DataFrame:
-    """`(script_idx, seq, taken)` for every statement in `claims` (a row per row to insert).
-
-    `keys` are the columns of the key, or several lists of these. Rows of `present` have the same
-    columns. `statement` names the columns that tell statements apart and put them in order.
-    """
+    """The statements in `claims` that fail, by the columns in `statement`; see `take_in_order`."""
     unique = [list(keys)] if all(isinstance(k, str) for k in keys) else [list(k) for k in keys]
     names = list(dict.fromkeys(c for k in unique for c in k))
-    # The statement's number has names of its own, so key columns may be called like it.
-    claims = claims.select(*statement, *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)])
+    # Columns get names of their own, so key columns may be called like those of the statement.
+    placed = [f"statement_{i}" for i in range(len(statement))]
+    own = [F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)]
+    claims = claims.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(statement, placed, strict=True)], *own)
     if present is not None:
-        present = present.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)])
+        present = present.select(*own)
     unique = [[f"own_{names.index(c)}" for c in k] for k in unique]
 
-    statements = _numbered_statements(claims, statement)
-    n_rows = statements.agg(F.sum("n")).first()[0] or 0
-    numbered, gone = _numbered_claims(claims, statements, statement, unique, present, n_rows)
-    failed = numbered.where("n > 1").select("at")
-    if gone is not None:
-        failed = failed.unionByName(numbered.join(gone, "key", "left_semi").select("at"))
-    failed = checkpoint(failed.distinct().withColumn("taken", F.lit(False)))
+    numbered, statements, hot = _numbered_claims(claims, placed, unique, present)
+    failed = _staged(numbered.where("n > 1 or gone").select("at").distinct())
     settled = [failed]
-    still = checkpoint(_without(numbered.select("at", "key"), failed))
-    n_open, n_before, walked = still.count(), None, False
+    still = _staged(numbered.select("at", "key").join(failed, "at", "left_anti"))
+    n_open, n_before, tries = still.count(), None, 0
     while n_open:
-        slow = n_before is not None and n_open > SLOW_ROUND * n_before
-        if slow and not walked:
-            # Once: parts that are too large stay so until rounds have taken them apart.
-            done, walked = _settled_by_walking(still, n_open), True
+        if n_open <= WALK_CLAIMS:
+            settled.append(_settled_by_walking(still, n_open).where("not taken").select("at"))
+            break
+        # After slow rounds, chains are followed, then parts looked for; these stay too large until rounds have taken them apart.
+        tries = tries + 1 if n_before is not None and n_open > SLOW_ROUND * n_before else 0
+        if tries % 3 == 2:
+            done = _settled_by_walking(still, n_open)
         else:
-            done, walked = _settled_in_round(still, n_open, chains=slow), False
-        settled.append(done)
-        left = checkpoint(_without(still, done))
-        taken_keys = still.join(done.where("taken").select("at"), "at", "left_semi").select("key").distinct()
-        lost = checkpoint(left.join(taken_keys, "key", "left_semi").select("at").distinct().withColumn("taken", F.lit(False)))
+            done = _settled_in_round(still, n_open, hot, chains=tries % 3 == 1)
+        # The key tells of all who hold it whether one of them is taken.
+        marked = _staged(still.join(done, "at", "left"))
+        settled.append(marked.where("not taken").select("at").distinct())
+        left = marked.where("taken is null").select("at", "key")
+        if left.isEmpty():
+            break
+        taken_keys = marked.where("taken").select("key")
+        lost = _staged(left.join(taken_keys, "key", "left_semi").select("at").distinct())
         settled.append(lost)
-        still = checkpoint(_without(left, lost))
+        still = _staged(left.join(lost, "at", "left_anti"))
         n_before, n_open = n_open, still.count()
-    verdicts = reduce(DataFrame.unionByName, settled)
-    # Statements without a key that could clash are in none of these.
-    known = statements.select(*statement, "at").join(verdicts, "at", "left")
-    return known.select(*statement, F.coalesce("taken", F.lit(True)).alias("taken"))
+    lost = statements.join(reduce(DataFrame.unionByName, settled), "at", "left_semi")
+    return lost.select(*[F.col(p).alias(c) for c, p in zip(statement, placed, strict=True)])
+
+
+def take_in_order(
+    claims: DataFrame,
+    keys: Sequence[str] | Sequence[Sequence[str]],
+    present: DataFrame | None = None,
+    statement: Sequence[str] = STATEMENT,
+) -> DataFrame:
+    """`(script_idx, seq, taken)` for every statement in `claims` (a row per row to insert).
+
+    `keys` are the columns of the key, or several lists of these. Rows of `present` have the same
+    columns. `statement` names the columns that tell statements apart and put them in order.
+    """
+    lost = clashing(claims, keys, present, statement).withColumn("lost", F.lit(True))
+    told = claims.select(*statement).distinct().join(lost, list(statement), "left")
+    return told.select(*statement, F.col("lost").isNull().alias("taken"))

@@ -93,3 +93,25 @@ def test_several_unique_keys(spark):
 
 def test_nothing_to_take(spark):
     check(spark, [], set())
+
+
+def test_a_chain_is_followed_at_once_in_blocks(spark, monkeypatch):
+    """Nothing looks for the parts of a chain, and what is looked up link by link are the blocks' first links alone."""
+    monkeypatch.setattr(conflicts, "WALK_CLAIMS", 0)
+    monkeypatch.setattr(conflicts, "BLOCK_BITS", 4)
+    monkeypatch.setattr(conflicts, "_parts", None)
+    sizes, ends = [], conflicts._ends_of_chains
+    monkeypatch.setattr(conflicts, "_ends_of_chains", lambda links: sizes.append(links.count()) or ends(links))
+    chain = [(0, q, (q + d, "a")) for q in range(300) for d in (0, 1)]
+    side = [(1, q, (q * 7 + d, "a" if d else "b")) for q in range(20) for d in (0, 290)]
+    check(spark, chain + side, set())
+    assert sizes and max(sizes) <= 40
+
+
+def test_hot_keys_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(conflicts, "HOT_ROWS", 3)
+    monkeypatch.setattr(conflicts, "WALK_CLAIMS", 0)
+    rng = random.Random(5)
+    claims = [(0, q, (1 if q % 3 == 0 else q, "a")) for q in range(40)]
+    claims += [(1, 5, (q, "b")) for q in range(30)] + [(2, q, (rng.randrange(25), "b")) for q in range(30)]
+    check(spark, claims, {(7, "a")})
