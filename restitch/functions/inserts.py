@@ -96,7 +96,8 @@ def insert_mode(text: Column) -> Column:
     return (
         F.when(text.rlike(rf"(?siU)\A{_NOTES}REPLACE\s"), "replace")
         .when(text.rlike(rf"(?siU)\A{_NOTES}INSERT\s++IGNORE\s"), "ignore")
-        .when(F.regexp_extract(text, _COMPLETE, 3) != "", "update")
+        # The whole text is matched only where the clause can be.
+        .when(text.rlike("(?iU)DUPLICATE") & (F.regexp_extract(text, _COMPLETE, 3) != ""), "update")
         .otherwise("insert")
     )
 

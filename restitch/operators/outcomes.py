@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from restitch.operators.conflicts import take_in_order
+from restitch.operators.conflicts import clashing
 from restitch.operators.restore import POSITION, Target, statement_problems, typed_rows
 from restitch.session import checkpoint
 
@@ -77,8 +77,7 @@ def settle(parsed: DataFrame, targets: Mapping[str, Target]) -> Settled:
         since = firm.groupBy(*key).agg(F.min(place).alias("since"))
         late = checkpoint(open_claims.join(since, key).where(place > F.col("since")).select(*_PLACE).distinct())
         open_claims = open_claims.join(late, _PLACE, "left_anti")
-    verdicts = take_in_order(open_claims.select(*_PLACE, *key), key, there, statement=_PLACE)
-    clash = verdicts.where("not taken").select(*_PLACE)
+    clash = clashing(open_claims.select(*_PLACE, *key), key, there, statement=_PLACE)
     clash = checkpoint(clash if late is None else clash.unionByName(late))
     failed = clash.where("unit = 0").select(*POSITION, F.lit(True).alias("clash"))
     outcomes = outcomes.join(failed, POSITION, "left").select(

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +67,24 @@ def pin_file_splits(spark: SparkSession) -> None:
         spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
 
 
+@contextmanager
+def listed_in_few_tasks(spark: SparkSession) -> Iterator[None]:
+    """Spark lists a long list of paths with a task for each; here a task takes many."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+@lru_cache(maxsize=1)
+def file_system_entry(spark: SparkSession) -> tuple[Any, Any]:
+    """The class of paths and the settings of file systems, asked for once: each name on the way is a call to the JVM."""
+    return spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write rows to the shared folder once; what follows reads the columns it needs."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from restitch.session import file_system_entry
 from restitch.sources.names import read_key
 
 
@@ -36,10 +37,14 @@ WIDE = (
 
 def encoding_of(spark: SparkSession, uri: str) -> Wide | None:
     """The encoding the first bytes of a file tell; None stands for UTF-8."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    path_class, settings = file_system_entry(spark)
+    path = path_class(uri)
+    stream = path.getFileSystem(settings).open(path)
     try:
-        read = [stream.read() for _ in range(4)]
+        read = [stream.read()]
+        # Few files begin like a mark; of others one byte is enough.
+        if read[0] in {w.mark[0] for w in WIDE}:
+            read += [stream.read() for _ in range(3)]
     finally:
         stream.close()
     head = bytes(b for b in read if b >= 0)

@@ -8,13 +8,15 @@ of a script are ordered by `(chunk, pos)`.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from restitch.session import pin_file_splits
+from restitch.session import file_system_entry, listed_in_few_tasks, pin_file_splits
 from restitch.sources.encodings import WIDE, encoding_of, wide_lines
 from restitch.sources.names import file_key, read_key
 
@@ -26,12 +28,24 @@ PACKED = (".gz", ".bz2")
 # The list of scripts is sent to every executor in parts of so many; each part is a scan of its own.
 LIST_PART = 500_000
 
+# So many files are looked up at a time; each is some calls to the file system.
+LOOK_UPS = 16
+
+
+def _each(look_up: Callable[[SparkSession, str], Any], spark: SparkSession, names: Sequence[str]) -> dict[str, Any]:
+    """What `look_up` says of each name, many at a time."""
+    file_system_entry(spark)
+    once = list(dict.fromkeys(names))
+    with ThreadPoolExecutor(LOOK_UPS) as pool:
+        return dict(zip(once, pool.map(lambda name: look_up(spark, name), once), strict=True))
+
 
 def _resolve(spark: SparkSession, path: str) -> str:
     """Qualified name of an existing script file; a missing one is an error."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop_path) or not fs.getFileStatus(hadoop_path).isFile():
+    path_class, settings = file_system_entry(spark)
+    hadoop_path = path_class(path)
+    fs = hadoop_path.getFileSystem(settings)
+    if not fs.isFile(hadoop_path):
         raise FileNotFoundError(f"script file not found: {path!r}")
     if hadoop_path.getName().startswith(("_", ".")):
         raise ValueError(f"Spark ignores files named like this: {path!r}")
@@ -45,7 +59,7 @@ def _as_pattern(path: str) -> str:
 
 
 def _resolved(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    return {path: _resolve(spark, path) for path in dict.fromkeys(paths)}
+    return _each(_resolve, spark, paths)
 
 
 def to_read(known: dict[str, str]) -> list[str]:
@@ -64,11 +78,9 @@ def script_list(spark: SparkSession, paths: Sequence[str], first: int = 0) -> tu
 def manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The scripts in run order with their sizes; a path listed twice runs twice."""
     listed, known = script_list(spark, paths)
-    sizes = (
-        spark.read.format("binaryFile")
-        .load(to_read(known))
-        .select(read_key().alias("file_key"), F.col("length").alias("file_bytes"))
-    )
+    with listed_in_few_tasks(spark):
+        files = spark.read.format("binaryFile").load(to_read(known))
+    sizes = files.select(read_key().alias("file_key"), F.col("length").alias("file_bytes"))
     unread = F.raise_error(F.concat(F.lit("script file not read: "), "script_path")).cast("long")
     size = F.coalesce("file_bytes", unread).alias("file_bytes")
     return listed.join(sizes, "file_key", "left").select("script_idx", "script_path", size)
@@ -91,11 +103,13 @@ def _scan_part(spark: SparkSession, paths: Sequence[str], first: int) -> DataFra
     listed, known = script_list(spark, paths, first)
     if not paths:
         return listed.select("script_idx", *[F.lit(0).cast("long").alias(c) for c in ("chunk", "pos")], F.col("script_path").alias("line"))
-    told = {uri: encoding_of(spark, uri) for uri in dict.fromkeys(known.values())}
+    told = _each(encoding_of, spark, list(known.values()))
     scanned = []
     if narrow := [_as_pattern(uri) for uri, wide in told.items() if wide is None]:
+        with listed_in_few_tasks(spark):
+            texts = spark.read.text(narrow)
         scanned.append(
-            spark.read.text(narrow).select(
+            texts.select(
                 read_key().alias("file_key"),
                 F.col("_metadata.file_block_start").alias("chunk"),
                 F.monotonically_increasing_id().alias("pos"),

@@ -74,3 +74,17 @@ def test_text_column(spark):
     assert [(r.script_idx, r.seq, r.text, r.terminated) for r in rows] == [
         (5, 1, "a;", True), (5, 2, "b\nc;", True), (8, 1, "x\ny", False),
     ]
+
+
+def test_a_long_list_is_read_in_few_tasks(spark, tmp_path):
+    paths = [tmp_path / f"{k}.sql" for k in range(200)]
+    for k, path in enumerate(paths):
+        path.write_bytes(f"{k};\n".encode())
+    group = "a-long-list"
+    spark.sparkContext.setJobGroup(group, "")
+    got = scan_scripts(spark, [str(p) for p in paths])
+    spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r.script_idx, r.line) for r in got.collect()) == [(k, f"{k};") for k in range(200)]
