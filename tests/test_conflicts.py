@@ -115,3 +115,12 @@ def test_hot_keys_in_rounds(spark, monkeypatch):
     claims = [(0, q, (1 if q % 3 == 0 else q, "a")) for q in range(40)]
     claims += [(1, 5, (q, "b")) for q in range(30)] + [(2, q, (rng.randrange(25), "b")) for q in range(30)]
     check(spark, claims, {(7, "a")})
+
+
+def test_keys_of_one_row_take_part_in_no_round(spark, monkeypatch):
+    monkeypatch.setattr(conflicts, "WALK_CLAIMS", 0)
+    rows = []
+    settle = conflicts._settled_in_round
+    monkeypatch.setattr(conflicts, "_settled_in_round", lambda claims, *a, **k: rows.append(claims.count()) or settle(claims, *a, **k))
+    check(spark, [(0, q, (q, "a")) for q in range(50)] + [(1, 0, (70, "a")), (1, 1, (70, "a"))], {(80, "a")})
+    assert rows == [2]
