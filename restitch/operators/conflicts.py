@@ -113,7 +113,6 @@ def _heads(claims: DataFrame, n_rows: int, hot: bool) -> DataFrame:
     if not hot:
         by_key = Window.partitionBy("key").orderBy("at")
         ranked = claims.select("at", "key", F.first("at").over(by_key).alias("first"), F.row_number().over(by_key).alias("rank"))
-        # What second means to all claims of a key is asked for claims from the second on alone.
         return ranked.select("at", "first", (F.col("rank") == 2).alias("is_second"), (F.col("rank") > 2).alias("is_later"))
     firsts = _staged(claims.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n")))
     ranked = _staged(_look_up(claims, firsts, ["key"], n_rows))
