@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,10 @@ BATCH_TEXTS = 64
 BATCH_PROCESSES = 50_000
 # Tables of at most so many keys or buckets (some 60 MB) are sent to all executors; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+# Small tables of keys are kept in tasks of about so many rows.
+TASK_ROWS = 50_000
+# A task joins edges until it holds so many nodes (some 40 MB), then begins anew.
+MOST_NODES = 200_000
 # Times are whole numbers, so that sums don't depend on the order of adding.
 TICKS = 2.0**40
 
@@ -217,25 +222,63 @@ def has_words(text: Column) -> Column:
     return text.rlike(r"[^\x20\x09-\x0D]")
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each node of a task's edges the smallest key they connect it with, if that is not the node itself."""
+    above: dict[bytes, bytes] = {}
+
+    def root_of(key: bytes) -> bytes:
+        path = []
+        while key in above:
+            path.append(key)
+            key = above[key]
+        for node in path[:-1]:
+            above[node] = key
+        return key
+
+    def found() -> pa.RecordBatch:
+        columns = [list(above), [root_of(key) for key in above]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            one, other = root_of(a), root_of(b)
+            if one != other:
+                above[max(one, other)] = min(one, other)
+        if len(above) > MOST_NODES:
+            yield found()
+            above.clear()
+    if above:
+        yield found()
+
+
+def _in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """`df` in no more tasks than its number of rows needs, but in one for each core."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """`(key, root)` for every node of `edges (a, b)`: the smallest key it is connected with.
+    """`(key, root)` for every node of `edges (a, b)` but the roots: the smallest key it is connected with.
 
-    Large-star and small-star steps in turn (Kiveris et al. 2014) until nothing changes.
+    Each round a task joins its edges to stars first, so a node meets at most one root from each task, and
+    none meets its leaves. Then a node takes the smallest of its roots, the others are linked with that one,
+    and links to a node that has a root itself go to that root, until nothing changes. So chains are halved,
+    and a round shuffles each node once, to itself. `edges` are read twice.
     """
-    edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    edges = edges.where("a <> b").select("a", "b")
+    rows = edges.count()
+    edges = _in_few_tasks(edges, rows)
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("low"))
-        edges = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = edges.where("a <> b").distinct()
-        low = edges.groupBy("a").agg(F.min("b").alias("low"))
-        others = edges.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = checkpoint(low.select("a", F.col("low").alias("b")).unionByName(others).distinct())
-        state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if state == before:
-            return edges.select(F.col("a").alias("key"), F.col("b").alias("root"))
-        before = state
+        met = edges.mapInArrow(_stars, "a binary, b binary").groupBy("a").agg(F.collect_set("b").alias("roots"))
+        low = met.select("a", "roots", F.array_min("roots").alias("low"))
+        nodes = low.select("a", "low", F.filter("roots", lambda r: r != F.col("low")).alias("others"))
+        nodes = checkpoint(_in_few_tasks(nodes, rows))
+        lows = _in_few_tasks(nodes.select(F.col("low").alias("b")).distinct(), rows)
+        steps = nodes.select(F.col("a").alias("b"), F.col("low").alias("next")).join(lows, "b")
+        steps = checkpoint(_in_few_tasks(steps, rows))
+        if steps.isEmpty() and nodes.where("size(others) > 0").isEmpty():
+            return nodes.select(F.col("a").alias("key"), F.col("low").alias("root"))
+        links = nodes.select(F.explode(F.concat(F.array("a"), "others")).alias("a"), F.col("low").alias("b"))
+        edges = links.join(_if_small(steps), "b", "left").select("a", F.coalesce("next", "b").alias("b"))
 
 
 def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,7 +399,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         named = roots.select(F.col("key").alias(end), "root")
         links = links.join(named, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-    new = components(links)
+    new = components(checkpoint(links))
     moved = roots.join(new.select(F.col("key").alias("root"), F.col("root").alias("new")), "root", "left")
     return moved.select("key", F.coalesce("new", "root").alias("root")).unionByName(new)
 

@@ -115,6 +115,78 @@ def test_merged_classes_are_components_of_all_links(spark):
     assert sorted((bytes(r["key"]), bytes(r["root"])) for r in got) == sorted((bytes(r["key"]), bytes(r["root"])) for r in want)
 
 
+def _key(k):
+    return sha256(str(k).encode()).digest()[:16]
+
+
+def _roots(pairs):
+    above = {}
+
+    def root(k):
+        while k in above:
+            k = above[k]
+        return k
+
+    for a, b in pairs:
+        if (one := root(a)) != (other := root(b)):
+            above[max(one, other)] = min(one, other)
+    return {k: root(k) for k in above}
+
+
+def test_components_of_chains_hubs_and_random_links_equal_a_plain_walk(spark):
+    rng = random.Random(3)
+    ordered = sorted(_key(k) for k in range(300))
+    pairs = [*zip(ordered[1:], ordered, strict=False)]  # a chain in the order of its keys
+    pairs += [(_key(f"c{k}"), _key(f"c{k + 1}")) for k in range(300)]  # and one in no order
+    pairs += [(_key(f"h{k}"), _key("hub")) for k in range(2000)]
+    pairs += [(_key(f"r{rng.randrange(900)}"), _key(f"r{rng.randrange(900)}")) for _ in range(700)]
+    pairs += [(_key("own"), _key("own")), *pairs[:50]]
+    rng.shuffle(pairs)
+    edges = spark.createDataFrame(pairs, "a binary, b binary").repartition(64)
+    got = near_dedup.components(edges).collect()
+    assert len(got) == len({bytes(r["key"]) for r in got})
+    assert {bytes(r["key"]): bytes(r["root"]) for r in got} == _roots(pairs)
+    assert near_dedup.components(edges.where("a = b")).count() == 0
+
+
+def test_stars_of_a_task_that_begins_anew_keep_all_links(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "MOST_NODES", 20)
+    rng = random.Random(4)
+    pairs = [(_key(rng.randrange(200)), _key(rng.randrange(200))) for _ in range(180)]
+    columns = [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)]
+    batches = [pa.RecordBatch.from_arrays([c[at : at + 16] for c in columns], ["a", "b"]) for at in range(0, 180, 16)]
+    found = list(near_dedup._stars(iter(batches)))
+    assert len(found) > 1
+    links = [(r["a"], r["b"]) for batch in found for r in batch.to_pylist()]
+    assert all(a > b for a, b in links)
+    assert _roots(links) == _roots(pairs)
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    # Copies of a text are a star already; with many shuffle partitions each task leaves files of a few rows.
+    pairs = [(_key(k), _key(0)) for k in range(1, 500)] + [(_key(f"p{k}"), _key(f"q{k}")) for k in range(500)]
+    edges = near_dedup.checkpoint(spark.createDataFrame(pairs, "a binary, b binary").repartition(64))
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "")
+    try:
+        assert near_dedup.components(edges).count() == len({max(p) for p in pairs} | {min(p) for p in pairs}) - 501
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    status = sc.statusTracker()
+    jobs = [status.getJobInfo(j) for j in status.getJobIdsForGroup("components")]
+    stages = {k for j in jobs for k in j.stageIds}
+    tasks = sum(info.numCompletedTasks for k in stages if (info := status.getStageInfo(k)))
+    assert tasks < 800
+
+
 @pytest.mark.parametrize("sides", [(2, 2, 2), (0, 1, 1), (1, 0, 0)])
 def test_links_across_need_no_equal_signatures(sides):
     import pandas as pd
