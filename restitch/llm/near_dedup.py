@@ -356,13 +356,15 @@ def _links_across(docs: DataFrame, pairs: DataFrame, texts: DataFrame, roots: Da
     clusters = components(pairs).withColumnRenamed("root", "cluster")
     ends = clusters.unionByName(clusters.select(F.col("cluster").alias("key"), "cluster").distinct())
     placed = ends.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = placed.join(texts.select("key", "n", "fingerprint"), "key")
+    placed = checkpoint(placed.join(texts.select("key", "n", "fingerprint"), "key"))
     mixed = placed.groupBy("cluster").agg(
         F.count("*").alias("size"), F.sum("n").alias("words"), (F.min("root") != F.max("root")).alias("mixed")
     )
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK_TEXTS, F.col("words") / BLOCK_WORDS)).cast("int").alias("blocks")
     # Of two members one was the other's leader, and that pair has been compared.
-    there = checkpoint(placed.join(mixed.where("mixed and size > 2").select("cluster", blocks), "cluster"))
+    mixed = checkpoint(mixed.where("mixed and size > 2").select("cluster", blocks))
+    # Sent to the members while they are few, as all members of a large cluster would else meet theirs in one task.
+    there = checkpoint(placed.join(_if_small(mixed), "cluster"))
     there = there.join(_bodies(docs, there.select("key", "fingerprint")), "key")
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # A block meets itself and every other one: side 0 in front, 1 behind, 2 both.

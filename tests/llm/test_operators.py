@@ -187,6 +187,21 @@ def test_components_of_few_links_take_few_tasks(spark):
     assert tasks < 800
 
 
+def test_members_of_a_cluster_do_not_meet_in_one_task(spark, monkeypatch):
+    plans = []
+
+    def kept(df, write=near_dedup.checkpoint):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(near_dedup, "checkpoint", kept)
+    words = [f"v{k}" for k in range(400)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 120])) for k in range(60)]
+    near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line and "(cluster#" in line]
+    assert joins and all("broadcast" in line for line in joins)
+
+
 @pytest.mark.parametrize("sides", [(2, 2, 2), (0, 1, 1), (1, 0, 0)])
 def test_links_across_need_no_equal_signatures(sides):
     import pandas as pd
